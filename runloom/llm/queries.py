@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import packing, tokens_io
+from runloom.llm import minhash, packing, tokens_io
 from runloom.llm.shared import read_table
 
 #: Fixed values of the queries.
@@ -27,6 +27,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary(), END_ID, CAPACITY).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_token_files, op10_best_fit_packing)}
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op5_token_files, op8_minhash_near_dedup, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
