@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import minhash, packing, tokens_io, vectors
+from runloom.llm import langid, minhash, packing, quality, tokens_io, vectors
 from runloom.llm.shared import read_table
 
 #: Fixed values of the queries.
@@ -31,10 +31,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary(), END_ID, CAPACITY).withColumnRenamed("id", "doc_id")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = quality.statistics(read_table(spark, sf_dir, "documents"))
+    rules = quality.learn(stats, read_table(spark, sf_dir, "labels"))
+    return quality.judge(stats, rules).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_langid_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_sorted_projections, op5_token_files, op8_minhash_near_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op4_sorted_projections, op5_token_files, op6_quality_rules, op7_langid_filters, op8_minhash_near_dedup, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
