@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import langid, minhash, packing, quality, tokens_io, vectors
+from runloom.llm import langid, minhash, packing, quality, secrets, tokens_io, vectors
 from runloom.llm.shared import read_table
 
 #: Fixed values of the queries.
@@ -18,6 +18,10 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(read_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -47,6 +51,6 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_sorted_projections, op5_token_files, op6_quality_rules, op7_langid_filters, op8_minhash_near_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op3_secret_scans, op4_sorted_projections, op5_token_files, op6_quality_rules, op7_langid_filters, op8_minhash_near_dedup, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
