@@ -54,12 +54,19 @@ ENCODINGS = {
 }
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normal_tail(z: Column) -> Column:
     """P(Z > z) of the standard normal: the usual five-term polynomial in 1 / (1 + 0.2316419 |z|)."""
-    t = 1 / (1 + 0.2316419 * F.abs(z))
-    poly = reduce(lambda acc, c: (acc + c) * t, (1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530), F.lit(0.0))
-    tail = F.exp(-z * z / 2) * 0.3989422804014327 * poly
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+    def tail(v: Column) -> Column:
+        poly = _let(1 / (1 + 0.2316419 * F.abs(v)), lambda t: reduce(lambda acc, c: (acc + c) * t, (1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530), F.lit(0.0)))
+        return _let(F.exp(-v * v / 2) * 0.3989422804014327 * poly, lambda p: F.when(v >= 0, p).otherwise(1 - p))
+
+    return _let(z, tail)
 
 
 def _matches(kind: str, pattern: str) -> Column:
@@ -125,7 +132,8 @@ def _binned(tests: DataFrame) -> DataFrame:
 
 def discoveries(tokens: DataFrame) -> DataFrame:
     """The distinct tokens that the battery finds: token."""
-    tests = _binned(battery(tokens.select("token").distinct()))
+    # written once: a filter on its columns would otherwise be pushed below it with all their expressions put in
+    tests = stored(_binned(stored(battery(tokens.select("token").distinct()), "battery")), "tests")
     bins = tests.groupBy("enc", "length_class", "bin").agg(F.count("*").alias("c"))  # at most encodings x lengths' logarithms x bins rows
     group = Window.partitionBy("enc", "length_class")
     from_top = group.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
