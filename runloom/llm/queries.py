@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import langid, minhash, packing, quality, secrets, tokens_io, vectors
+from runloom.llm import editcount, htmltext, langid, minhash, packing, pieces, quality, secrets, tokens_io, vectors
 from runloom.llm.shared import read_table
 
 #: Fixed values of the queries.
 END_ID, CAPACITY, VOCABULARY = 1, 4096, "word_bpe_49k.json"
+BYTE_VOCABULARY, PIECE_VOCABULARY, SEED = "byte_bpe_50k.json", "piece_bpe_32k.model", 17
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
@@ -18,6 +19,26 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
+def planned_edits(text: str = "text", key: str = "doc_id") -> Column:
+    """Three edits per document, placed by hashes of its key: a deletion, a replacement and an insertion of its own text."""
+    n = F.length(F.coalesce(F.col(text), F.lit("")))
+    at = lambda k: F.pmod(F.xxhash64(F.lit(k), F.col(key)), n + 1).cast("int")
+    own = lambda k, size: F.coalesce(F.substring(F.col(text), at(k) + 1, F.lit(size)), F.lit(""))
+    edit = lambda place, cut, add: F.struct(place.alias("at"), F.lit(cut).alias("cut"), add.alias("add"))
+    return F.array(edit(at(1), 40, F.lit("")), edit(at(2), 9, own(5, 17)), edit(at(3), 0, own(6, 60)))
+
+
+def op1_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return editcount.count_edited(docs.withColumn("edits", planned_edits()), vocabulary(BYTE_VOCABULARY), public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+
+
+def op2_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -31,6 +52,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_io.digest(spark, out).withColumnRenamed("id", "doc_id")
 
 
+def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every text, digested, and whether decoding gives back the text."""
+    return pieces.digest(read_table(spark, sf_dir, "documents"), vocabulary(PIECE_VOCABULARY), SEED).withColumnRenamed("id", "doc_id")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary(), END_ID, CAPACITY).withColumnRenamed("id", "doc_id")
 
@@ -51,6 +77,6 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scans, op4_sorted_projections, op5_token_files, op6_quality_rules, op7_langid_filters, op8_minhash_near_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_edit_aware_counts, op2_tag_path_ratios, op3_secret_scans, op4_sorted_projections, op5_token_files, op6_quality_rules, op7_langid_filters, op8_minhash_near_dedup, op9_sampled_pieces, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
