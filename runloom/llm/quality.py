@@ -113,6 +113,20 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, " + ", ".join(f"{c} bigint" for c in COUNTS))
 
 
+def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with the counts of COUNTS added; columns of those names are replaced."""
+    keep, kinds = [c for c in docs.columns if c not in COUNTS], dict(docs.dtypes)
+    at = keep.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, text_col):
+                got = counts_of(as_array(part.column(at)))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(got[c].astype(np.int64)) for c in COUNTS)], [*keep, *COUNTS])
+
+    return docs.select(*keep).mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in keep) + ", ".join(f"{c} bigint" for c in COUNTS))
+
+
 def features() -> dict[str, Column]:
     """Features of the rules, as expressions over the counts."""
     per = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
