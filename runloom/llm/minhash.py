@@ -6,7 +6,7 @@ that its own fixed probe sequence meets first. Documents of equal sets form a cl
 Classes that share a band share a bucket. A bucket of k classes gives k - 1 candidate pairs, each class with the bucket's
 centre, not k * k; pairs are confirmed on full sets. Where a bucket still holds several components, further rounds take
 other centres, and at last the classes outside the bucket's largest component are compared with the classes of other
-components whose bit sketches don't rule a link out. So no link between components is lost to the star shape.
+components, unless sizes, shingles that only one of them has or bit sketches rule a link out. So no link between components is lost to the star shape.
 
 With 21 bands of 6 rows a pair of similarity 0.85 shares a bucket with probability over 0.9999.
 
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.llm.arrow_text import as_array, as_list, mix64, steps, words_of
+from runloom.llm.arrow_text import as_array, as_list, mix64, row_of, steps, words_of
 from runloom.llm.graph import components
 from runloom.llm.shared import stored
 
@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             centres = mixed.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("c"))
             more = mixed.join(centres, "key").where("component != c.component").select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b"))
         else:
-            more = _remainder(mixed, reps, bands * rows)
+            more = _remainder(mixed, reps, texts, bands * rows, percent, words)
         more = stored(more.distinct().join(tested, ["a", "b"], "left_anti"), "tested")
         tested = tested.unionByName(more)
         new = stored(confirmed(more, texts, percent, words), "confirmed")
@@ -185,12 +185,32 @@ def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     return stored(named.join(mixed, "key", "left_semi"), "mixed")
 
 
-def _remainder(mixed: DataFrame, reps: DataFrame, bins: int) -> DataFrame:
-    """Pairs of a bucket from different components, one of them outside the bucket's largest component."""
+def _own_shingles(texts: DataFrame, words: int) -> DataFrame:
+    """id and how many shingles of its text no other of the ``texts`` has (documents without any are left out)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, "text"):
+                flat, bounds = shingle_sets(as_array(part.column(1)), words)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row_of(bounds))), pa.array(flat.view(np.int64))], ["id", "shingle"])
+
+    rows = texts.select("id", "text").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, shingle bigint")
+    return rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
+
+
+def _remainder(mixed: DataFrame, reps: DataFrame, texts: DataFrame, bins: int, percent: int, words: int) -> DataFrame:
+    """Pairs of a bucket from different components, one of them outside the bucket's largest component.
+
+    Two texts share no shingle that is one's own, which bounds their intersection from above: most pairs that aren't linked
+    go by that bound, without being compared.
+    """
     sizes = mixed.groupBy("key", "component").agg(F.count("*").alias("k"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-    rows = mixed.join(main, "key").join(reps.select("id", "bits"), "id")
-    rows = stored(rows, "remainder")
+    own = _own_shingles(texts.join(mixed.select("id").distinct(), "id", "left_semi"), words)
+    sized = reps.select("id", "bits", "n").join(mixed.select("id").distinct(), "id", "left_semi").join(own, "id", "left")
+    sized = sized.select("id", "bits", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")).where(F.col("common") * 100 >= F.col("n") * percent)
+    rows = stored(mixed.join(main, "key").join(sized, "id"), "remainder")
     x, y = rows.where("component != main").alias("x"), rows.alias("y")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (_sketch_similarity("x", "y", bins) >= SKETCH_LEAST)
+    most = F.least("x.common", "y.common")
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (most * 100 >= percent * (F.col("x.n") + F.col("y.n") - most)) & (_sketch_similarity("x", "y", bins) >= SKETCH_LEAST)
     return x.join(y, near).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
