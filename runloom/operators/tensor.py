@@ -255,7 +255,6 @@ class StepTensor:
         """Values with axes longer than the threshold shown by their ends; only those cells are fetched."""
         edge = max(1, threshold // 2)
         parts = [[slice(None)] if n <= threshold else [slice(0, edge), slice(n - edge, n)] for n in self.shape]
-        grids = [np.array([k for s in p for k in range(*s.indices(n))]) for p, n in zip(parts, self.shape, strict=True)]
         t = self
         for axis, p in enumerate(parts):
             if len(p) > 1:
@@ -272,7 +271,6 @@ class StepTensor:
                 items.insert(edge, "...")
             return "[" + separator.join(items) + "]"
 
-        del grids
         return show(dense, self.ndim - 1)
 
     def __repr__(self) -> str:
@@ -395,12 +393,10 @@ class Builder:
         bounds = normalise(index, self.base.shape)
         if any(s != 1 for *_, s in bounds):
             raise ValueError("a builder's ranges have no stride")
-        m = SliceMap(self.base.shape, bounds)
-        n, width = prod(counts(bounds)), counts(bounds)[0]
+        width = counts(bounds)[0]
         place = [0]
         for (start, stop, _), step in zip(bounds, [prod(self.base.shape[:k]) for k in range(self.base.ndim)], strict=True):
             place = [p + i * step for i in (range(start, stop) if step > 1 else [start]) for p in place]
-        del m, n
         if isinstance(value, StepTensor):
             flat = value.to_list()
             rows = [(p + j, p + j + 1, flat[r * width + j]) for r, p in enumerate(place) for j in range(width)]

@@ -74,7 +74,7 @@ def last_writer(updates: DataFrame, fill: Column, length: int, block: int | None
     cut = split(updates.select("seq", "start", "end", "val"), block)
     blocks = spark.range(-(-length // block)).select(F.col("id").alias("blk"), (F.col("id") * block).alias("at"))
     edges = cut.select("blk", F.col("start").alias("at")).union(cut.where(F.col("end") < F.least((F.col("blk") + 1) * block, F.lit(length))).select("blk", "end")).union(blocks).distinct()
-    over = edges.join(cut.select("blk", F.col("start").alias("s"), F.col("end").alias("e"), "seq", "val"), "blk", "left").where(F.col("s").isNull() | True)
+    over = edges.join(cut.select("blk", F.col("start").alias("s"), F.col("end").alias("e"), "seq", "val"), "blk", "left")
     covers = (F.col("s") <= F.col("at")) & (F.col("at") < F.col("e"))
     best = over.groupBy("blk", "at").agg(F.max_by(F.when(covers, F.col("val")), F.when(covers, F.col("seq"))).alias("val"))
     after = Window.partitionBy("blk").orderBy("at")

@@ -45,7 +45,7 @@ def test_runs_and_dumps(spark):
     b[2:8] = 9
     b[5] = 1
     assert b.build().to_list() == [1, 3, 9, 9, 9, 1, 9, 9, 1, 1]
-    assert T.full(spark, (2, 3), 7).item if False else T.full(spark, 1, 7).item() == 7
+    assert T.full(spark, 1, 7).item() == 7
 
 
 def test_strided_sets_in_two_dimensions(spark):
