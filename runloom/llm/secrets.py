@@ -7,7 +7,7 @@ Patterns give the base spans (kinds assign, access, hex). The battery looks at e
 2. Randomness: chi-squared of the alphabet's uniformity, runs above and below the alphabet's middle, and the correlation of
    neighbours. A token that any of them rejects at ``RANDOM_ALPHA`` isn't random.
 3. Evidence against text: under the null a token is made as words and identifiers are: equal characters meet as often as in
-   prose, and character classes (lower, upper, digit, other) change rarely. Both grow with the length, so a short token
+   prose, and character classes (lower, upper, digit; marks left out) change rarely. Both grow with the length, so a short token
    can't be found significant by luck. Their z-scores join into one p-value.
 4. False-discovery control by length: the p-values of distinct tokens are counted in bins for each encoding and length
    class, and the Benjamini-Hochberg line of that class at ``FDR`` gives its cut. Counts are a bounded table.
@@ -117,7 +117,7 @@ def battery(tokens: DataFrame) -> DataFrame:
     pairs, hits = n * (n - 1) / 2, (F.col("squares") - n) / 2
     spread = pairs * (COINCIDENCE - COINCIDENCE**2) + n * (n - 1) * (n - 2) * (CUBES - COINCIDENCE**2)
     z_equal = (pairs * COINCIDENCE - hits) / F.sqrt(spread)
-    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "9"), "[^aA9]", "+")
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "9"), "[^aA9]", "")  # words joined by marks are still words
     changes = F.length(F.regexp_replace(classes, "(.)\\1+", "$1")) - 1
     z_change = (changes - (n - 1) * CHANGES) / F.sqrt((n - 1) * CHANGES * (1 - CHANGES))
     one_class, few = F.col("enc").isin("decimal", "letters"), F.col("enc").isin("decimal", "hex")

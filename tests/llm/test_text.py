@@ -1,0 +1,155 @@
+"""Secrets, quality rules, language ID, page text, and the pipeline."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from runloom.llm import htmltext, langid, quality, secrets
+
+_ci = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+ASSIGN = re.compile("(" + "|".join(map(_ci, ("password", "passwd", "secret", "token"))) + "|" + _ci("api") + "_?" + _ci("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base_spans(t):
+    t = t or ""
+    found = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+    return sorted(found)
+
+
+def said(spans):
+    return ",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in spans)
+
+
+def test_base_spans(spark, docs, texts):
+    tricky = ["token=token: abcdefghijklmnop", "SECRET='aaaaaaaaaaaa' api_key: bbbbbbbbbbbbbb apikey==cccccccccccc", "é" * 9 + " passwd:short passwd:longenough123", "AKIA" + "Z" * 13 + " AKIA" + "Z" * 14, "f" * 15 + " " + "0f" * 20, "token = 0123456789abcdef0123 tokén=abcdefghijklmnop"]
+    rows = [(100 + k, t) for k, t in enumerate(tricky)]
+    both = docs.select("doc_id", "text", "kind", "h").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string"), True)
+    want = dict(enumerate(texts)) | dict(rows)
+    got = secrets.report(both).collect()
+    assert len(got) == both.count()
+    for r in got:
+        spans = base_spans(want[r["id"]])
+        assert r["base_sha256"] == hashlib.sha256(said(spans).encode()).hexdigest(), want[r["id"]]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[1] == k for s in spans) for k in range(3)]
+        assert not spans or said(spans) in r["spans"] or set(said(spans).split(",")) <= set(r["spans"].split(","))
+    assert secrets.report(docs.where("false")).count() == 0
+
+
+def test_random_tokens_are_found_and_words_are_not(spark):
+    rng = random.Random(8)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(rng.choice(base64) for _ in range(48)) for _ in range(40)]
+    names = ["some_function_name_that_is_long", "aVeryLongCamelCaseIdentifierName", "abcdefghijklmnopqrstuvwxyz0123456789", "Donaudampfschifffahrtsgesellschaft", "internationalization-of-applications", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "11111111112222222222", "path/to/some/deeply/nested/file"]
+    rows = [(k, f"the key {x} is here") for k, x in enumerate(keys)] + [(100 + k, f"see {x} there") for k, x in enumerate(names)]
+    got = {r["id"]: r["spans"] for r in secrets.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum("random:8:56" in got[k] for k in range(40)) >= 38
+    assert not any("random" in got[100 + k] for k in range(len(names)))
+
+
+def test_redaction(spark, docs):
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(docs.where("doc_id = 9 or doc_id = 0 or doc_id = 5")).collect()}
+    assert got[0] is None and got[9] == '[SECRET]" [SECRET] [SECRET]' and "SECRET" not in got[5]
+
+
+def test_quality_counts(docs, texts):
+    got = {r["id"]: r for r in quality.statistics(docs).collect()}
+    for k, t in enumerate(texts):
+        t = t or ""
+        words = re.findall(r"[^\x20\x09-\x0d]+", t)
+        windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+        covered = {j for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]
+        want = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered))
+        assert tuple(got[k][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want, k
+    assert quality.statistics(docs.where("false")).count() == 0
+
+
+def test_rules_are_learned_and_ordered(spark, docs):
+    rng = np.random.default_rng(1)
+    x = {"a": rng.random(3000), "b": rng.random(3000)}
+    bad = (x["a"] > 0.8) & (x["b"] < 0.5) | (x["b"] > 0.97)
+    rules = quality.learn_rules(x, bad)
+    hit = np.any([r.holds(x) for r in rules], 0)
+    assert (hit == bad).mean() > 0.99
+    assert quality.learn_rules(x, np.zeros(3000, bool)) == [] and quality.learn_rules(x, np.ones(3000, bool)) == []
+    stats = quality.statistics(docs)
+    none = spark.createDataFrame([(1, None), (None, 0), (999, 0)], "doc_id bigint, quality int")
+    assert quality.learn(stats, none) == []
+    judged = quality.judge(stats, [quality.Rule((("n_words", True, 1000.0),))])
+    assert {r["id"]: r["kept"] for r in judged.collect()}[11] is False
+    assert judged.where("n_words < 20 and kept").count() == 0
+
+
+def test_language_of_held_out_documents(spark, real):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out()))
+    got = langid.predict(docs.where(langid.held_out()), model)
+    assert got.where("lang = lang_pred").count() / got.count() > 0.98
+    assert got.where("score < 0 or score > 1").count() == 0
+
+
+def test_language_edge_cases(spark, docs):
+    model = langid.fit(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, model).collect()}
+    assert all(got[k] == ("und", 0.0) for k in (0, 1, 2))
+    assert got[3][0] in ("en", "fr") and got[10][0] in ("en", "fr")
+    empty = langid.fit(docs.where("false"))
+    assert {r["lang_pred"] for r in langid.predict(docs, empty).collect()} == {"und"}
+
+
+def test_bitmasks_hold_every_language():
+    import pyarrow as pa
+
+    table = np.zeros(1 << 10, np.uint64)
+    grams, first, last = langid.grams_of(pa.array(["the cat", "", "Ünïcode"]), 4)
+    assert (last - first).tolist()[1] == 0 and (last > first).tolist() == [True, False, True]
+    for at in langid.slots_of(grams, 3, 1 << 10):
+        table[at] |= np.uint64(2)
+    model = langid.Filters(["a", "b"], table, np.array([0.0, ((table & np.uint64(2)) > 0).mean() ** 3]), 4)
+    assert langid.predict_array(pa.array(["the cat"]), model)[0] == ["b"]
+
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h2>Site</h2></header><nav><ul><li><a href=x>Home</a><li>News</ul></nav>
+<div id="cookie-notice">We use cookies, sorry, for all.</div><div class="main"><h1>A &amp; B</h1><p>First  text, with marks.<br>Same&nbsp;block &#233;.</p><!-- no -->
+<p>Second, longer, with commas and <b>bold <i>parts</b>. And more, really.<script>var a = "<p>x</p>";</script></p><blockquote>Quoted.</blockquote></div>
+<aside><p>Related, popular, and so on, and on.</p></aside><div class="user-comments"><p>Nice post, thanks, I liked it a lot, really.</p></div>
+<form><p>Sign up, please, now.</p></form><footer>&copy; x</footer></body></html>"""
+
+
+def test_page_text(spark):
+    want = "A & B\nFirst text, with marks. Same block é.\nSecond, longer, with commas and bold parts. And more, really.\nQuoted."
+    rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p>"), (5, "u", "plain &lt; text"), (6, "u", "<div>" * 3000 + "deep text" + "</div>" * 3000), (1, "u", PAGE)]
+    got = htmltext.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))).collect()
+    assert sorted((r["id"], r["text"], r["n_chars"]) for r in got) == sorted([(1, want, len(want))] * 2 + [(2, "", 0), (3, "", 0), (4, "", 0), (5, "plain < text", 12), (6, "deep text", 9)])
+
+
+def test_pages_of_the_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    from html import unescape
+
+    for r in htmltext.extract(pages).collect():
+        body = re.search(r"<article>(.*?)(</article>|<footer)", html[r["id"]], re.S)[1]
+        blocks = re.split(r"</?(?:p|h1)>", re.sub(r"</?b>", "", body.replace("<br>", " ")))
+        assert r["text"] == "\n".join(t for x in blocks if (t := " ".join(unescape(x).split())))
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    docs = before = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert [name for name, _ in p.STAGES] == ["language_id", "quality_rules", "near_duplicates", "secret_scans", "best_fit_packing"]
+    rows = p.run(spark, "/root/testdata/sf0.001").collect()
+    kept = {r["doc_id"] for r in rows}
+    assert 0.5 * before.count() < len(kept) < before.count()
+    clean = p.quality_rules(spark, docs, "/root/testdata/sf0.001")
+    assert clean.columns == docs.columns
+    hidden = p.secret_scans(spark, docs, "/root/testdata/sf0.001")
+    assert hidden.count() == docs.count() and hidden.where(F.length("text") != F.col("n_chars")).count() == 0
+    assert secrets.report(hidden.select("doc_id", "text")).where("n_assign + n_access + n_hex > 0").count() == 0
