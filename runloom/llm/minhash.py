@@ -4,8 +4,8 @@ A document is the set of its distinct five-word shingles (ASCII letters lower-ca
 One hash per shingle fills ``BANDS * ROWS`` bins with the least hash of each bin's range; an empty bin borrows from the bin
 that its own fixed probe sequence meets first. Documents of equal sets form a class and only one row of a class goes on.
 Classes that share a band share a bucket. A bucket of k classes gives k - 1 candidate pairs, each class with the bucket's
-centre, not k * k; pairs are confirmed on full sets. Where a bucket still holds several components, further rounds take
-other centres, and at last the classes outside the bucket's largest component are compared with the classes of other
+centre, not k * k; pairs are confirmed on full sets. Where a bucket still holds several components, a further round takes
+another centre, and at last the classes outside the bucket's largest component are compared with the classes of other
 components, unless sizes, shingles that only one of them has or bit sketches rule a link out. So no link between components is lost to the star shape.
 
 With 21 bands of 6 rows a pair of similarity 0.85 shares a bucket with probability over 0.9999.
@@ -29,8 +29,8 @@ from runloom.llm.graph import components
 from runloom.llm.shared import stored
 
 WORDS, BANDS, ROWS = 5, 21, 6
-#: Rounds of stars before the exact remainder.
-STAR_ROUNDS = 3
+#: Rounds after the first star; the last is the exact remainder.
+ROUNDS = 3
 #: A sketch of 126 bits rules a pair out below this similarity: over five standard deviations under the threshold.
 SKETCH_LEAST = 0.55
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -156,21 +156,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     tested = stored(pairs, "tested")
     links = stored(confirmed(tested, texts, percent, words), "confirmed")
     found = components(links)
-    for turn in range(1, STAR_ROUNDS + 1):
-        mixed = _mixed(members, found)
+    mixed = _mixed(members, found)
+    sized = None
+    for turn in range(1, ROUNDS + 1):
         if mixed.isEmpty():
             break
-        if turn < STAR_ROUNDS:
-            centres = mixed.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("c"))
+        if sized is None:
+            sized = stored(_sized(mixed, reps, texts, percent, words), "sized")
+            members = stored(members.select("key", "id").join(mixed.select("key").distinct(), "key", "left_semi").join(sized.select("id"), "id", "left_semi"), "buckets")
+            mixed = _mixed(members, found)
+        if turn < ROUNDS:
+            # the member that has the least to itself: most copies of one source are nearest to it
+            rank = F.struct(-F.col("common") / F.col("n"), F.xxhash64("id", F.lit(turn)), "id")
+            centres = mixed.join(sized, "id").groupBy("key").agg(F.min_by(F.struct("id", "component"), rank).alias("c"))
             more = mixed.join(centres, "key").where("component != c.component").select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b"))
         else:
-            more = _remainder(mixed, reps, texts, bands * rows, percent, words)
+            more = _remainder(mixed, sized, bands * rows, percent)
         more = stored(more.distinct().join(tested, ["a", "b"], "left_anti"), "tested")
         tested = tested.unionByName(more)
         new = stored(confirmed(more, texts, percent, words), "confirmed")
         if not new.isEmpty():
             links = links.unionByName(new)
             found = components(links)
+        mixed = _mixed(members, found)
     named = sk.join(classes, ["h1", "h2"], "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"))
     out = named.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep")
@@ -198,7 +206,15 @@ def _own_shingles(texts: DataFrame, words: int) -> DataFrame:
     return rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
 
 
-def _remainder(mixed: DataFrame, reps: DataFrame, texts: DataFrame, bins: int, percent: int, words: int) -> DataFrame:
+def _sized(mixed: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """id, bits, bands, n and how many shingles are in common with any other, of the documents that can be linked to another at all."""
+    ids = mixed.select("id").distinct()
+    own = _own_shingles(texts.join(ids, "id", "left_semi"), words)
+    sized = reps.select("id", "bits", "bands", "n").join(ids, "id", "left_semi").join(own, "id", "left")
+    return sized.select("id", "bits", "bands", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")).where(F.col("common") * 100 >= F.col("n") * percent)
+
+
+def _remainder(mixed: DataFrame, sized: DataFrame, bins: int, percent: int) -> DataFrame:
     """Pairs of a bucket from different components, one of them outside the bucket's largest component.
 
     Two texts share no shingle that is one's own, which bounds their intersection from above: most pairs that aren't linked
@@ -206,11 +222,9 @@ def _remainder(mixed: DataFrame, reps: DataFrame, texts: DataFrame, bins: int, p
     """
     sizes = mixed.groupBy("key", "component").agg(F.count("*").alias("k"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-    own = _own_shingles(texts.join(mixed.select("id").distinct(), "id", "left_semi"), words)
-    sized = reps.select("id", "bits", "n").join(mixed.select("id").distinct(), "id", "left_semi").join(own, "id", "left")
-    sized = sized.select("id", "bits", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")).where(F.col("common") * 100 >= F.col("n") * percent)
     rows = stored(mixed.join(main, "key").join(sized, "id"), "remainder")
     x, y = rows.where("component != main").alias("x"), rows.alias("y")
     most = F.least("x.common", "y.common")
     near = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (most * 100 >= percent * (F.col("x.n") + F.col("y.n") - most)) & (_sketch_similarity("x", "y", bins) >= SKETCH_LEAST)
+    near = near & (F.col("x.key") == F.array_min(F.array_intersect("x.bands", "y.bands")))  # one of the buckets that both share
     return x.join(y, near).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
