@@ -25,9 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that fail the base rules or that the learned decision list rejects."""
-    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    rules = quality.learn(quality.statistics(labelled), labels)
+    rules = quality.learn_from(docs, read_table(spark, sf_dir, "labels"))
     return quality.judge(quality.with_statistics(docs), rules).where("kept").select(*docs.columns)
 
 

@@ -216,17 +216,28 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 11, most_
     return rules
 
 
-def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = LABELLED_ROWS) -> list[Rule]:
-    """Rules from labelled statistics (label 0: reject), on about ``rows`` labelled rows chosen by a hash of the id."""
+def sampled_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = LABELLED_ROWS) -> DataFrame:
+    """id and label of about ``rows`` labelled rows, chosen by a hash of the id."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(F.col("label").isNotNull() & F.col("id").isNotNull())
     share = min(1.0, rows / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
+    return known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
+
+
+def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = LABELLED_ROWS) -> list[Rule]:
+    """Rules from labelled statistics (label 0: reject), on about ``rows`` labelled rows."""
     f = features()
-    got = stats.join(known, "id").select("label", *(f[k].alias(k) for k in f)).toPandas()
+    got = stats.join(sampled_labels(labels, id_col, label_col, rows), "id").select("label", *(f[k].alias(k) for k in f)).toPandas()
     got = got.sort_values(list(f), kind="stable")
     return learn_rules({k: got[k].to_numpy(float) for k in f}, got["label"].to_numpy() == 0)
 
 
+def learn_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = LABELLED_ROWS) -> list[Rule]:
+    """Rules from documents: only those of the labelled sample are counted. Its ids are sent to the tasks (about ``rows``)."""
+    ids = sampled_labels(labels, id_col, label_col, rows).select(F.col("id").alias(id_col)).distinct()
+    chosen = docs.select(id_col, text_col).join(F.broadcast(ids), id_col, "left_semi")
+    return learn(statistics(chosen, id_col, text_col), labels, id_col, label_col, rows)
+
+
 def verdict(rules: list[Rule]) -> Column:
     """The list as an ordered conditional expression over the counts: the number of the first rule that holds, else 0."""
     f, out = features(), None
