@@ -172,10 +172,14 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of every text replaced by ``mark``; touching spans each leave one mark, overlapping ones one."""
-    found = find(docs, id_col, text_col).select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
+    """``docs`` with every span of every text replaced by ``mark``; touching spans each leave one mark, overlapping ones one.
+
+    Only texts that some pattern can match at all are joined with their spans; all others pass as they are.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_h")), "left")
+    hit = docs.where(text.rlike(ANY))
+    found = find(hit, id_col, text_col).select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
+    joined = hit.join(found, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_h")), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -184,4 +188,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
 
     done = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text))))
     new = F.when(F.col("_spans").isNull() | (F.size("_spans") == 0), F.col(text_col)).otherwise(done)
-    return joined.withColumn(text_col, new).select(*docs.columns)
+    return docs.where(~text.rlike(ANY)).unionByName(joined.withColumn(text_col, new).select(*docs.columns))
