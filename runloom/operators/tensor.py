@@ -49,6 +49,24 @@ class Source:
         return mapped.where(F.col("end") > F.col("start"))
 
 
+def parts_of(sources: tuple[Source, ...] | list[Source]) -> list[tuple[DataFrame, list[int]]]:
+    """The sources as parts to align: those of one frame together, so that it is worked out once however many slices of it
+    an expression has."""
+    held: dict[Leaf, list[int]] = {}
+    for k, s in enumerate(sources):
+        held.setdefault(s.leaf, []).append(k)
+    out = []
+    for leaf, ks in held.items():
+        if len(ks) == 1:
+            out.append((sources[ks[0]].frame().select(F.lit(ks[0]).alias("src"), "start", "end", "val"), ks))
+            continue
+        to = lambda k, p: reduce(lambda x, m: m(x), sources[k].maps, p)
+        mapped = F.array(*(F.struct(F.lit(k).alias("src"), to(k, F.col("start")).alias("start"), to(k, F.col("end")).alias("end")) for k in ks))
+        rows = leaf.frame.select(F.explode(mapped).alias("m"), "val").select("m.src", "m.start", "m.end", "val")
+        out.append((rows.where(F.col("end") > F.col("start")), ks))
+    return out
+
+
 def dtype_of(dtype: Any) -> str:
     if dtype in _KINDS:
         return _KINDS[dtype]
@@ -118,7 +136,7 @@ class StepTensor:
             return R.constant(self.spark, self.length, self.fn([]).cast(kind))
         if len(self.sources) == 1:
             return self.sources[0].frame().select("start", "end", self.fn([F.col("val")]).cast(kind).alias("val"))
-        return align([s.frame() for s in self.sources], [scalar.SQL_TYPES[s.leaf.kind] for s in self.sources], self.length, lambda c: self.fn(c).cast(kind))
+        return align(parts_of(self.sources), [scalar.SQL_TYPES[s.leaf.kind] for s in self.sources], self.length, lambda c: self.fn(c).cast(kind))
 
     def _leaf(self, frame: DataFrame, shape: tuple[int, ...] | None = None, kind: str | None = None, text: str = "runs") -> StepTensor:
         return from_runs(frame, self.shape if shape is None else shape, kind or self.kind, text)

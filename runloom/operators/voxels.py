@@ -12,7 +12,7 @@ from runloom.functions import scalar
 from runloom.operators import reduce as red
 from runloom.operators.convolve import conv
 from runloom.operators.manipulate import pad, transpose
-from runloom.operators.tensor import StepTensor, map_values
+from runloom.operators.tensor import StepTensor, map_values, parts_of
 from runloom.plans.align import align
 
 #: Fixed bits of the neighbours: axis, side, bit.
@@ -58,7 +58,7 @@ def walk(mask: StepTensor, *tensors: StepTensor) -> DataFrame:
         mask = mask._leaf(mask.frame())
         return walk(mask, *tensors)
     value = lambda c: F.struct(*(t.fn(c[k : k + len(t.sources)]).alias(f"v{j - 1}" if j else "m") for j, (t, k) in enumerate(ends)))
-    rows = align([s.frame() for s in packed], [scalar.SQL_TYPES[s.leaf.kind] for s in packed], mask.length, value)
+    rows = align(parts_of(packed), [scalar.SQL_TYPES[s.leaf.kind] for s in packed], mask.length, value)
     rows = rows.where(scalar.nonzero(F.col("val.m"), mask.kind))
     return rows.select(F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos"), *(F.col(f"val.v{j}") for j in range(len(tensors))))
 

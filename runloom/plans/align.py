@@ -11,20 +11,21 @@ from runloom import config
 from runloom.plans.runs import block_of, split
 
 
-def align(frames: list[DataFrame], kinds: list[str], length: int, fn: Callable[[list[Column]], Column], block: int | None = None) -> DataFrame:
-    """Runs of ``fn`` over the frames' values, equal neighbours merged within blocks. Every frame covers the domain."""
+def align(parts: list[tuple[DataFrame, list[int]]], kinds: list[str], length: int, fn: Callable[[list[Column]], Column], block: int | None = None) -> DataFrame:
+    """Runs of ``fn`` over all sources' values, equal neighbours merged within blocks.
+
+    A part is a frame of (src, start, end, val) and the sources that it holds; every source covers the domain once.
+    """
     block = block or config.get_value("block")
-    parts = []
-    for k, frame in enumerate(frames):
+    names = [f"v{j}" for j in range(len(kinds))]
+    rows = None
+    for frame, held in parts:
         cut = split(frame, block)
-        values = [F.col("val").alias(f"v{j}") if j == k else F.lit(None).cast(kinds[j]).alias(f"v{j}") for j in range(len(frames))]
-        parts.append(cut.select("blk", "start", *values))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    names = [f"v{j}" for j in range(len(frames))]
+        own = lambda j, held=held: F.when(F.col("src") == j, F.col("val")).cast(kinds[j]) if j in held else F.lit(None).cast(kinds[j])
+        cut = cut.select("blk", "start", *(own(j).alias(names[j]) for j in range(len(kinds))))
+        rows = cut if rows is None else rows.unionByName(cut)
     met = rows.repartition("blk").groupBy("blk", "start").agg(*(F.max(v).alias(v) for v in names))
-    return _filled(met, names, length, block, lambda cols: fn(cols))
+    return _filled(met, names, length, block, fn)
 
 
 def overlay(base: DataFrame, patch: DataFrame, length: int, block: int | None = None) -> DataFrame:
