@@ -30,7 +30,7 @@ from runloom.llm.shared import stored
 
 WORDS, BANDS, ROWS = 5, 21, 6
 #: Rounds after the first star; the last is the exact remainder.
-ROUNDS = 3
+ROUNDS = 2
 #: A sketch of 126 bits rules a pair out below this similarity: over five standard deviations under the threshold.
 SKETCH_LEAST = 0.55
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -178,7 +178,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         if not new.isEmpty():
             links = links.unionByName(new)
             found = components(links)
-        mixed = _mixed(members, found)
+        if turn < ROUNDS:
+            mixed = _mixed(members, found)
     named = sk.join(classes, ["h1", "h2"], "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"))
     out = named.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep")
@@ -188,7 +189,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members (key, id, component) of the buckets that hold more than one component."""
     named = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    named = stored(named, "named")
     mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
     return stored(named.join(mixed, "key", "left_semi"), "mixed")
 
