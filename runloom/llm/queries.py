@@ -62,9 +62,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = quality.statistics(read_table(spark, sf_dir, "documents"))
-    rules = quality.learn(stats, read_table(spark, sf_dir, "labels"))
-    return quality.judge(stats, rules).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    docs = read_table(spark, sf_dir, "documents")
+    rules = quality.learn_from(docs, read_table(spark, sf_dir, "labels"))
+    return quality.judge(quality.statistics(docs), rules).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op7_langid_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
