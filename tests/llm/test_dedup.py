@@ -92,3 +92,12 @@ def test_vectors_against_all_pairs(spark):
     assert np.mean([got[k][1] == comp[k] for k in range(len(x))]) > 0.99
     assert all(got[k] == (0, k, True) for k in [*range(800, 806), 900, 901])
     assert vectors.near_duplicates(df.where("false")).count() == 0
+
+
+def test_vectors_of_a_crowded_label(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((2, 64))
+    v = np.concatenate([base[0] + 0.001 * rng.standard_normal((700, 64)), base[1] + 0.05 * rng.standard_normal((700, 64)), rng.standard_normal((600, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(k, x.tolist(), 1) for k, x in enumerate(v)], "vec_id bigint, embedding array<float>, label int")
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df, block=64).collect()}
+    assert [got[k] for k in range(2000)] == [(699, 0)] * 700 + [(699, 700)] * 700 + [(0, k) for k in range(1400, 2000)]
