@@ -4,13 +4,14 @@
 
 * ``rank``: one row per token id of the vocabulary (rank, token_id, n); rank 0 is the most frequent id of the whole table,
   ties go to the smaller id. It has at most vocabulary-size rows, so its broadcast is bounded.
-* ``shard=<k>``: one row per document, shards and the rows in them in ascending id order: id, n_tokens, ``control`` and
-  ``data``. A rank takes 1 to 4 little-endian bytes of ``data``; ``control`` holds ``bytes - 1`` of four ranks in each byte,
+* ``docs/shard=<k>``: one row per document, shards and the rows in them in ascending id order: place (in the shard), id,
+  n_tokens, ``control`` and ``data``. A rank takes 1 to 4 little-endian bytes of ``data``; ``control`` holds ``bytes - 1`` of four ranks in each byte,
   lowest bits first. Both are binary columns.
 
 ``read`` decodes them by numpy table lookup: a 256-row table gives the four lengths of a control byte.
 
-Null text is the empty text (end id only). Repeated ids keep one row each, their order among themselves is by content.
+Null text is the empty text (end id only). Repeated ids keep one row each, their order among themselves is by a hash of the
+text; however many rows one id has, they are spread over shards. Null ids come first.
 Empty tables give empty files. Other columns are ignored, whatever their names.
 """
 
@@ -30,6 +31,8 @@ from runloom.llm.wordtok import tokenizer, with_end
 
 #: Row k: how many bytes each of the four ranks under control byte k takes.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
+#: Where a document stands in the files, and its size.
+KEYS = ["shard", "place", "id", "n_tokens"]
 _MASK = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
@@ -109,8 +112,10 @@ def write(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_
     out = out or fresh_path(spark, "token-files")
     vocab = max(tokenizer(path).vocab_size, end_id + 1)
     width = _width(vocab)
-    ordered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
-    plain = stored(tokenised(ordered, path, end_id, "id", "text").withColumn("shard", F.spark_partition_id()), "token-ids")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("content"))
+    ordered = rows.repartitionByRange("id", "content").sortWithinPartitions("id", "content", "text")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    plain = stored(tokenised(ordered, path, end_id, "id", "text").withColumns({"shard": F.spark_partition_id(), "place": place}), "token-ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocab, np.int64)
@@ -132,18 +137,24 @@ def write(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "ids"):
-                raw, bounds = _flat(part.column(3))
+                raw, bounds = _flat(part.column(4))
                 control, cb, data, db = encode_ranks(sent.value[raw.view(width)], bounds // np.dtype(width).itemsize)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), _binary(control, cb), _binary(data, db)], ["shard", "id", "n_tokens", "control", "data"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], _binary(control, cb), _binary(data, db)], [*KEYS, "control", "data"])
 
     kind = dict(plain.dtypes)["id"]
-    coded = plain.select("shard", "id", "n_tokens", "ids").mapInArrow(code, f"shard int, id {kind}, n_tokens bigint, control binary, data binary")
-    coded.write.option("compression", "none").parquet(f"{out}/docs")
+    coded = plain.select(*KEYS, "ids").mapInArrow(code, f"shard int, place bigint, id {kind}, n_tokens bigint, control binary, data binary")
+    coded.sortWithinPartitions("shard", "place").write.option("compression", "none").partitionBy("shard").parquet(f"{out}/docs")
+    if not plain.take(1):  # an empty table has no shards: its schema stays
+        coded.write.mode("overwrite").parquet(f"{out}/docs")
     return out
 
 
+def _files(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(f"{out}/docs").withColumn("shard", F.col("shard").cast("int"))
+
+
 def read_ids(spark: SparkSession, out: str) -> DataFrame:
-    """The files decoded: shard, id, n_tokens, ids (array of int)."""
+    """The files decoded: shard, place, id, n_tokens, ids (array of int)."""
     return _decoded(spark, out, lambda ids, bounds: pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))), "ids array<int>")
 
 
@@ -153,23 +164,23 @@ def digest(spark: SparkSession, out: str) -> DataFrame:
     Places come from the sizes of the shards before (one small row each) and a running sum within a shard.
     """
     got = _decoded(spark, out, lambda ids, bounds: pa.array(id_crcs(ids, bounds), pa.int64()), "ids_crc32 bigint")
-    sizes = spark.read.parquet(f"{out}/docs").groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    sizes = _files(spark, out).groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    inside = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("id", "ids_crc32").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
+    inside = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
     return got.join(before, "shard").select("id", (F.col("before") + inside).alias("start"), "n_tokens", "ids_crc32")
 
 
 def _decoded(spark: SparkSession, out: str, make, column: str) -> DataFrame:
-    files = spark.read.parquet(f"{out}/docs")
+    files = _files(spark, out)
     token_of = np.array([r[0] for r in spark.read.parquet(f"{out}/rank").orderBy("rank").select("token_id").collect()], np.uint32)
     sent = spark.sparkContext.broadcast(token_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "data"):
-                n = part.column(2).to_numpy()
-                control, bounds = _flat(part.column(3))
-                ids = sent.value[decode_ranks(control, bounds, _flat(part.column(4))[0], n)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), make(ids, np.concatenate([[0], np.cumsum(n)]))], ["shard", "id", "n_tokens", column.split()[0]])
+                n = part.column(3).to_numpy()
+                control, bounds = _flat(part.column(4))
+                ids = sent.value[decode_ranks(control, bounds, _flat(part.column(5))[0], n)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], make(ids, np.concatenate([[0], np.cumsum(n)]))], [*KEYS, column.split()[0]])
 
-    return files.select("shard", "id", "n_tokens", "control", "data").mapInArrow(run, f"shard int, id {dict(files.dtypes)['id']}, n_tokens bigint, {column}")
+    return files.select(*KEYS, "control", "data").mapInArrow(run, f"shard int, place bigint, id {dict(files.dtypes)['id']}, n_tokens bigint, {column}")

@@ -1,7 +1,9 @@
 """Token ids of whole texts by the tokenizers library, with each distinct word encoded once per worker.
 
 For a word-level vocabulary (white space dropped, word ends marked) the ids of a text are the ids of its words in order:
-no pre-token spans white space. ASCII letters are lower-cased first, as the tokenizer itself does. So each worker keeps the ids of the words that it has met, and gathers them by numpy.
+no pre-token spans white space, and neither normal forms nor lower-casing reach across it. So each worker keeps the ids of
+the words that it has met, and gathers them by numpy. Words are given to the library as they are written: lower-casing them
+first would let letters join marks that only their small forms can join.
 Other vocabularies are encoded text by text.
 """
 
@@ -20,8 +22,11 @@ from runloom.llm.arrow_text import as_list, words_of
 MEMO_WORDS = 2_000_000
 #: Latin letters alone or marks alone: exactly one pre-token, so such words can be encoded many at a time.
 _PLAIN = r"^([A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?#*%$&|]+)$"
-#: A pre-token always begins where marks follow a letter or digit, so a space there changes no ids (a combining mark may join the letter).
-_MARKS = r"([\pL\pN])([^\s\pL\pN\pM])"
+#: A pre-token always begins where one of these marks follows one of these letters or digits, so a space there changes no ids.
+#: Both lists are closed: Latin, Greek and Cyrillic letters that stay one letter when normalised and lower-cased (U+0130 doesn't),
+#: and punctuation that joins nothing before it. Anything else stays in its word.
+_LETTERS = r"A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{391}-\x{3A1}\x{3A3}-\x{3CE}\x{400}-\x{481}\x{48A}-\x{4FF}"
+_MARKS = rf"([{_LETTERS}])([!-/:-@\[-`{{-~\x{{A1}}\x{{A7}}\x{{AB}}\x{{BB}}\x{{BF}}\x{{2010}}-\x{{2027}}\x{{2030}}-\x{{203E}}])"
 _END = "</w>"
 
 
@@ -95,7 +100,7 @@ class WordTokenizer:
         return ids, bounds + np.concatenate([[0], np.cumsum(sizes)])
 
     def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        codes, bounds, words = words_of(pc.replace_substring_regex(pc.ascii_lower(texts), _MARKS, r"\1 \2"))
+        codes, bounds, words = words_of(pc.replace_substring_regex(texts, _MARKS, r"\1 \2"))
         names = as_list(words)
         slots = np.fromiter((self.slot.get(w, -1) for w in names), np.int64, len(names))
         if (missing := slots < 0).any():

@@ -24,6 +24,48 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def odd_texts(n, seed=1):
+    """Short texts of letters, marks, punctuation and spaces of all planes; letters that change when normalised come often."""
+    import random
+    import unicodedata
+
+    rng = random.Random(seed)
+    kinds = {}
+    for c in range(0x110000):
+        kinds.setdefault(unicodedata.category(chr(c))[0], []).append(chr(c))
+    excluded = [c for c in kinds["L"] if unicodedata.normalize("NFC", c) != c]
+    other = [c for k in "PSNZC" for c in kinds[k] if not 0xD800 <= ord(c) < 0xE000]
+    pools = [("abcHTWYJAIsz019.,;:'!-\"#<|> \n\t ", 30), ("İıſKÅΣςẞŉǰẖ", 10), (excluded, 10), (kinds["L"], 15), (kinds["M"][:200], 14), (kinds["M"], 6), (other, 15)]
+    pick = lambda: rng.choice(rng.choices([p for p, _ in pools], [w for _, w in pools])[0])
+    return ["".join(pick() for _ in range(rng.randint(1, 14))) for _ in range(n)]
+
+
+def test_ids_equal_the_library_on_any_unicode():
+    import pyarrow as pa
+
+    from runloom.llm.wordtok import WordTokenizer
+
+    texts = odd_texts(100_000) + ["GAZETESİ, yeni", "SERGİSİ.", "İ .", "İ - Z", "T̈ H̱ W̊.", "x<|endoftext|>y", "<|ENDOFTEXT|>."]
+    own = WordTokenizer(path())
+    ids, bounds = own.encode(pa.array(texts))
+    want = [e.ids for e in own.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [t for k, t in enumerate(texts) if ids[bounds[k] : bounds[k + 1]].tolist() != want[k]] == []
+
+
+def test_starts_are_places_in_the_files(spark):
+    rows = [(k % 7 if k % 3 else 3, f"text {k} " + "word " * (k % 11)) for k in range(400)] + [(None, "no id"), (None, None), (3, "text 3 word word word ")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = tokens_io.write(docs, path(), END)
+    files = tokens_io.read_ids(spark, out).orderBy("shard", "place").collect()
+    assert [r["id"] is not None for r in files] == [False] * 2 + [True] * 401
+    assert [r["id"] for r in files[2:]] == sorted(r["id"] for r in files[2:])
+    want, start = [], 0
+    for r in files:
+        want.append((str(r["id"]), start, len(r["ids"]), crc(r["ids"])))
+        start += len(r["ids"])
+    assert sorted((str(r["id"]), r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokens_io.digest(spark, out).collect()) == sorted(want)
+
+
 def test_token_files_give_back_all_ids(spark, docs, encoded):
     out = tokens_io.write(docs, path(), END)
     rows = sorted(tuple(r) for r in tokens_io.digest(spark, out).select("id", "start", "n_tokens", "ids_crc32").collect())
