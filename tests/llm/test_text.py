@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from runloom.llm import htmltext, langid, quality, secrets
@@ -127,6 +128,63 @@ def test_page_text(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p>"), (5, "u", "plain &lt; text"), (6, "u", "<div>" * 3000 + "deep text" + "</div>" * 3000), (1, "u", PAGE)]
     got = htmltext.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))).collect()
     assert sorted((r["id"], r["text"], r["n_chars"]) for r in got) == sorted([(1, want, len(want))] * 2 + [(2, "", 0), (3, "", 0), (4, "", 0), (5, "plain < text", 12), (6, "deep text", 9)])
+    assert htmltext.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+BODY = "<p>First paragraph, long enough to count, with several marks. And more of it, really, to be sure.</p><p>Second one, also long, with commas, and a full stop. It goes on, and on.</p>"
+LINES = ["First paragraph, long enough to count, with several marks. And more of it, really, to be sure.", "Second one, also long, with commas, and a full stop. It goes on, and on."]
+#: No tag, class or word tells what is what: only lengths and marks do.
+BARE = f"<body><div class=q1><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul></div><div class=q4><div>12 May</div><div>4 of 9</div></div><div class=q2>{BODY}<ul><li>item<li>other</ul></div><div class=q3>short promo</div></body>"
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f'<body class="single-post has-sidebar"><nav><a href=x>Home</a></nav>{BODY}</body>', LINES),
+        (f'<body><article class="post comments-open"><header><h1>Title here</h1></header>{BODY}<footer>Tags: a, b</footer></article></body>', ["Title here", *LINES]),
+        (f'<main class="search-results-page">{BODY}</main>', LINES),
+        (f'<div class="social-studies-lesson">{BODY}</div>', LINES),
+        (f"<article><h1>Title</h1><div class=body>{BODY}</div></article>", ["Title", *LINES]),
+        (f"<body><div class=post><h1>Title</h1><div class=body>{BODY}</div></div><div class=x9><p>Buy now</p></div></body>", ["Title", *LINES]),
+        (f"<article><section>{BODY}</section><section><p>A short one, its own.</p></section></article>", [*LINES, "A short one, its own."]),
+        ("<article><p>Short intro.</p><ul>" + "<li>item, quite long, with marks." * 9 + "</ul></article>", ["Short intro.", *["item, quite long, with marks."] * 9]),
+        (f'<a title="a > b">Link</a>{BODY}', ["Link", *LINES]),
+        (f'{BODY}<p hidden>gone, gone, and gone again.</p><div style="display: none">gone</div><div aria-hidden=true>gone</div><p><span>shown</span>', [*LINES, "shown"]),
+        (f'<div class="sidebar">{BODY}</div>', LINES),
+        (f"<body><div id=disqus_thread><p>I liked it a lot, really, thanks.</p></div><article>{BODY}</article></body>", LINES),
+        (f"<head><title>x</title><div>{BODY}</div>", LINES),
+        (f"a < b and 1 <2 {BODY}", ["a < b and 1 <2", *LINES]),
+        (f"{BODY}<b unclosed", LINES),
+        (BARE, [*LINES, "item", "other"]),
+    ],
+)
+def test_page_layouts(html, want):
+    assert htmltext.main_text(html).split("\n") == want
+
+
+def test_ratios_decide(monkeypatch):
+    """Each part of the method changes what is taken: without ratios, smoothing, marks or threshold the result is another."""
+    want = htmltext.main_text(BARE)
+    for off in (lambda p, n, m, w: np.ones(len(p)), lambda p, n, m, w: w * 1.0):
+        with monkeypatch.context() as at:
+            at.setattr(htmltext, "path_scores", off)
+            assert htmltext.main_text(BARE) != want
+    with monkeypatch.context() as at:
+        at.setattr(htmltext, "content_nodes", lambda scores: np.ones(len(scores), bool))
+        assert htmltext.main_text(BARE) != want
+    scores = htmltext.path_scores(np.array([1, 2, 2, 3]), np.array([4.0, 80, 60, 9]), np.array([0.0, 5, 3, 0]), np.ones(4))
+    assert scores[1] == scores[2] > 4 * max(scores[0], scores[3])
+    flat = htmltext.path_scores(np.array([1, 2, 2, 3]), np.array([4.0, 80, 60, 9]), np.zeros(4), np.ones(4))
+    assert flat[1] / flat[0] < scores[1] / scores[0]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for html, want in (("<a" * 500_000, 0), ("<a" * 500_000 + ">", 0), ("<div>" * 100_000 + "deep" + "</div>" * 100_000, 4), ('<a x="' * 170_000, 0), ("<p><table><td>" + "<x-y>" * 50_000 + "<div>" * 50_000 + "z", 1), ("<div>" * 50_000 + "</p>" * 100_000 + "q", 1), ("<!--" * 200_000, 0), ("&" * 1_000_000, 1_000_000), ("<a " + '="" ' * 160_000 + ">x", 1)):
+        began = time.time()
+        assert len(htmltext.main_text(html)) == want
+        assert time.time() - began < 5
 
 
 def test_pages_of_the_table(spark):
