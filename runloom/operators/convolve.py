@@ -13,6 +13,7 @@ from math import prod
 from typing import Any
 
 import numpy as np
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from runloom.errors import IncompatibleTensor
@@ -87,13 +88,52 @@ def gaussian_blur(t: StepTensor) -> StepTensor:
     return t
 
 
+def sharpen(t: StepTensor) -> StepTensor:
+    """Every cell times all cells around it less one, minus these: 26 and -1 in three dimensions."""
+    kernel = np.full((3,) * t.ndim, -1, np.int32)
+    kernel[(1,) * t.ndim] = 3**t.ndim - 1
+    return conv(t, kernel, 1)
+
+
+def box(t: StepTensor, size: int = 3) -> StepTensor:
+    """The mean of ``size`` cells along every axis, as floats (sums of integers are 32-bit)."""
+    if t.kind == "f":
+        return conv(t, np.full((size,) * t.ndim, 1 / size**t.ndim, np.float32), size // 2)
+    return conv(t, np.ones((size,) * t.ndim, np.int32), size // 2) / float(size**t.ndim)
+
+
 def downsample(t: StepTensor) -> StepTensor:
-    """The mean of every 2 x 2 ... block, as floats: strided slices, aligned."""
-    if any(n % 2 for n in t.shape):
-        raise IncompatibleTensor("every axis must be even")
-    parts = [t[tuple(slice(o, None, 2) for o in at)] for at in product((0, 1), repeat=t.ndim)]
-    n = len(parts)
-    return map_values(lambda *c: (fold(lambda x, y: x + y, [v.cast("double") for v in c]) / n).cast("float"), *parts, kind="f", text=f"downsample({t.text})")
+    """The mean of every 2 x 2 ... block, as floats; where an axis is odd its last cells are a block of their own.
+
+    Integers go by difference events over halved rows: one shuffle, cost by runs. Floats by aligned slices.
+    """
+    shape = tuple(-(-n // 2) for n in t.shape)
+    if t.kind == "f":
+        if any(n % 2 for n in t.shape):
+            raise IncompatibleTensor("every axis of floats must be even")
+        parts = [t[tuple(slice(o, None, 2) for o in at)] for at in product((0, 1), repeat=t.ndim)]
+        n = len(parts)
+        return map_values(lambda *c: (fold(lambda x, y: x + y, [v.cast("double") for v in c]) / n).cast("float"), *parts, kind="f", text=f"downsample({t.text})")
+    div = lambda a, b: F.call_function("div", a, F.lit(b).cast("bigint"))
+    rows = _rows(t)
+    weight, out_row, step = F.lit(1).cast("bigint"), F.lit(0).cast("bigint"), 1
+    for k in range(1, t.ndim):
+        y = div(F.col("row"), prod(t.shape[1:k])) % t.shape[k]
+        if t.shape[k] % 2:  # the last row is its own pair
+            weight = weight * F.when(y == t.shape[k] - 1, 2).otherwise(1)
+        out_row, step = out_row + div(y, 2) * step, step * shape[k]
+    w = t.shape[0]
+    v = F.col("val").cast("int").cast("bigint") * weight
+    stop = F.when(F.col("x1") == w, w + w % 2).otherwise(F.col("x1"))
+
+    def at(x: Column, v: Column) -> list[Column]:
+        """Half of the step in the pair of x, half of it where the next cell begins."""
+        return [F.struct(div(x, 2).alias("x"), v.alias("d")), F.struct(div(x + 1, 2).alias("x"), v.alias("d"))]
+
+    events = rows.select(out_row.alias("row"), F.explode(F.array(*at(F.col("x0"), v), *at(stop.cast("bigint"), -v))).alias("e")).select("row", "e.x", "e.d")
+    heads = t.spark.range(prod(shape[1:])).select(F.col("id").alias("row"), F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("d"))
+    frame = running(events.unionByName(heads), shape[0], "bigint")
+    return from_runs(frame.select("start", "end", (F.col("val") / 2**t.ndim).cast("float").alias("val")), shape, "f", f"downsample({t.text})")
 
 
 def highlight_runs(t: StepTensor) -> StepTensor:

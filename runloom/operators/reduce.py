@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce as fold
 from math import prod
 from typing import Any
 
@@ -39,16 +40,57 @@ def sum(t: StepTensor, axis: int | None = None, keepdims: bool = False, wide: bo
     return _finish(t, value, keepdims)
 
 
+#: 5 to the power of -(2^k), modulo 2^32: what takes bit k out of a logarithm to base 5.
+_ROOTS = [pow(5, -(1 << k), 1 << 32) for k in range(30)]
+
+
+def _logarithm(v: Column) -> Column:
+    """The logarithm to base 5 (modulo 2^30) of a 32-bit number that leaves 1 when divided by 4, bit by bit."""
+    start = F.struct(v.alias("v"), F.lit(0).cast("bigint").alias("b"))
+    roots = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(r).cast("bigint").alias("r")) for k, r in enumerate(_ROOTS)))
+
+    def step(acc: Column, root: Column) -> Column:
+        bit = F.call_function("shiftright", acc["v"], root["k"] + 2).bitwiseAND(F.lit(1)) == 1
+        # both factors are below 2^32: the product's low 32 bits by halves
+        low, high = root["r"].bitwiseAND(F.lit(0xFFFF)), F.shiftright(root["r"], 16)
+        times = (acc["v"] * low + F.shiftleft((acc["v"] * high).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(0xFFFFFFFF))
+        power = F.call_function("shiftleft", F.lit(1).cast("bigint"), root["k"])
+        return F.when(bit, F.struct(times.alias("v"), (acc["b"] + power).alias("b"))).otherwise(acc)
+
+    return F.aggregate(roots, start, step, lambda acc: acc["b"])
+
+
+def integer_product(t: StepTensor) -> DataFrame:
+    """One row: zero (whether any cell is 0), twos, negative and power.
+
+    Every other 32-bit number is 2^c, times 1 or -1, times a power of 5: products of cells are sums of these exponents, which
+    executors add up like any other sums.
+    """
+    v = F.col("val").cast("bigint")
+    twos = F.expr("array_position(transform(sequence(0, 31), k -> shiftright(cast(val as bigint), k) & 1L), 1L) - 1").cast("int")
+    odd = F.call_function("shiftright", v, F.col("c")).bitwiseAND(F.lit(0xFFFFFFFF))
+    rows = t.frame().groupBy("val").agg(F.sum(_size()).alias("n")).withColumn("c", F.when(v != 0, twos).otherwise(0))
+    rows = rows.withColumn("odd", odd).withColumn("minus", F.col("odd").bitwiseAND(F.lit(3)) == 3)
+    rows = rows.withColumn("plus", F.when(F.col("minus"), (F.lit(1 << 32) - F.col("odd"))).otherwise(F.col("odd")))
+    around = F.lit(1 << 30)
+    part = _logarithm(F.col("plus")) * (F.col("n") % around) % around
+    return rows.agg(
+        F.coalesce(F.max(v == 0), F.lit(False)).alias("zero"),
+        F.coalesce(F.sum(F.col("c") * F.least("n", F.lit(32))), F.lit(0)).alias("twos"),
+        F.coalesce(F.sum(F.when(F.col("minus"), F.col("n") % 2)), F.lit(0)).alias("negative"),
+        F.coalesce(F.sum(F.when(v != 0, part)), F.lit(0)).alias("power"),
+    )
+
+
 def prod_(t: StepTensor, keepdims: bool = False) -> Any:
-    """The product, wrapped to 32 bits for integers: powers by repeated squaring over run lengths."""
+    """The product (1 for no cells); integers wrap to 32 bits, floats are multiplied in double."""
     if t.kind == "f":
-        part = F.pow(F.col("val").cast("double"), _size())
-        return _finish(t, float(t.frame().agg(F.product(part)).first()[0] or 1.0), keepdims)
-    out = 1
-    # a row per distinct value: how often it occurs decides its power
-    for value, n in histogram(t).select("val", "n").toLocalIterator():
-        out = out * pow(int(value), int(n), 1 << 32) % (1 << 32)
-    return _finish(t, (out + (1 << 31)) % (1 << 32) - (1 << 31), keepdims)
+        value = t.frame().agg(F.product(F.pow(F.col("val").cast("double"), _size()))).first()[0]
+        return _finish(t, 1.0 if value is None else float(value), keepdims)
+    r = integer_product(t.to("i")).first()
+    m = 1 << 32
+    out = 0 if r["zero"] or r["twos"] >= 32 else pow(5, int(r["power"]) % (1 << 30), m) * (-1) ** (int(r["negative"]) % 2) * (1 << int(r["twos"])) % m
+    return _finish(t, (out + (1 << 31)) % m - (1 << 31), keepdims)
 
 
 def extreme(t: StepTensor, name: str) -> DataFrame:
@@ -113,8 +155,8 @@ def running(events: DataFrame, width: int, wide: str) -> DataFrame:
     return at.select((F.col("row") * width + F.col("x")).alias("start"), (F.col("row") * width + stop).alias("end"), value.alias("val"))
 
 
-def reduce(op: Callable[[StepTensor, StepTensor], StepTensor], t: StepTensor, axis: int | None = None, keepdims: bool = False) -> Any:
-    """Any associative operator on tensors, by halving: log2 of the length rounds, each aligned slices of the last."""
+def reduce(op: Callable[[StepTensor, StepTensor], StepTensor], t: StepTensor, axis: int | None = None, keepdims: bool = False, fan: int = 16) -> Any:
+    """Any associative operator on tensors: every round combines ``fan`` neighbours, as aligned strided slices of one frame."""
     flat = t.flatten() if axis is None else t
     k = 0 if axis is None else axis + t.ndim * (axis < 0)
     if not flat.shape[k]:
@@ -125,13 +167,15 @@ def reduce(op: Callable[[StepTensor, StepTensor], StepTensor], t: StepTensor, ax
 
     rest = None
     while (n := flat.shape[k]) > 1:
-        if n % 2:
-            last = part(flat, n - 1, n)
+        width = min(fan, n)
+        whole = n // width * width
+        for j in reversed(range(whole, n)):  # what doesn't fill a round comes after everything else
+            last = part(flat, j, j + 1)
             rest = last if rest is None else op(last, rest)
-            flat = part(flat, 0, n - 1)
-        flat = op(part(flat, 0, flat.shape[k], 2), part(flat, 1, flat.shape[k], 2))
-        if len(flat.sources) > 4:
-            flat = flat.eval()
+        if rest is not None:
+            rest = rest.eval()
+        flat = fold(op, [part(flat, j, whole, width) for j in range(width)])
+        flat = flat.eval()
     out = flat if rest is None else op(flat, rest)
     if axis is None:
         return out.reshape((1,) * t.ndim) if keepdims else out.item()

@@ -242,7 +242,7 @@ class StepTensor:
     # sinks
     def runs(self) -> DataFrame:
         """Canonical runs: start, end, val."""
-        return R.canonical(self.frame())
+        return R.canonical(self.frame(), self.length)
 
     def cells(self) -> DataFrame:
         """One row per cell: pos, val."""
@@ -252,7 +252,7 @@ class StepTensor:
         return self.runs().count()
 
     def dumps(self) -> str:
-        return R.dumps(self.frame())
+        return R.dumps(self.frame(), self.length)
 
     def to_numpy(self) -> np.ndarray:
         """A dense array of the reversed shape, on the driver."""
@@ -371,7 +371,8 @@ def from_runs(frame: DataFrame, shape: int | tuple[int, ...], dtype: Any, text:
 def from_cells(cells: DataFrame, shape: int | tuple[int, ...], dtype: Any, pos: str = "pos", val: str = "val") -> StepTensor:
     """A table of cells with dense, unique positions, as runs."""
     kind = dtype_of(dtype)
-    return from_runs(R.encode(cells.withColumn(val, F.col(val).cast(scalar.SQL_TYPES[kind])), pos=pos, val=val), shape, kind, "cells")
+    length = shape if isinstance(shape, int) else prod(shape)
+    return from_runs(R.encode(cells.withColumn(val, F.col(val).cast(scalar.SQL_TYPES[kind])), length, pos, val), shape, kind, "cells")
 
 
 def from_sparse(cells: DataFrame, shape: int | tuple[int, ...], dtype: Any, fill: Any = 0, pos: str = "pos", val: str = "val") -> StepTensor:
@@ -401,37 +402,47 @@ def from_list(spark: SparkSession, values: list, dtype: Any = None) -> StepTenso
 
 
 class Builder:
-    """Collects point and range updates; ``build`` writes them in order over the fill, the last writer wins."""
+    """Collects point and range updates; ``build`` writes them in order over the fill, the last writer wins.
+
+    The driver keeps a box for each update; boxes become runs, and tensors are put in their places, in Spark.
+    """
 
     def __init__(self, spark: SparkSession, shape: int | tuple[int, ...], value: Any = 0, dtype: Any = None):
         self.base = full(spark, shape, value, dtype)
-        self.value, self.updates = value, []
+        self.value = value
+        self.boxes: list[tuple] = []
+        self.tensors: list[tuple[int, tuple, StepTensor]] = []
 
     def __setitem__(self, index: Any, value: Any) -> None:
         bounds = normalise(index, self.base.shape)
         if any(s != 1 for *_, s in bounds):
             raise ValueError("a builder's ranges have no stride")
-        width = counts(bounds)[0]
-        place = [0]
-        for (start, stop, _), step in zip(bounds, [prod(self.base.shape[:k]) for k in range(self.base.ndim)], strict=True):
-            place = [p + i * step for i in (range(start, stop) if step > 1 else [start]) for p in place]
-        if isinstance(value, StepTensor):
-            flat = value.to_list()
-            rows = [(p + j, p + j + 1, flat[r * width + j]) for r, p in enumerate(place) for j in range(width)]
-        else:
-            rows = [(p, p + width, value) for p in place]
-        self.updates += [(len(self.updates) + k, a, b, v) for k, (a, b, v) in enumerate(rows) if b > a]
+        seq = len(self.boxes) + len(self.tensors)
+        if not isinstance(value, StepTensor):
+            self.boxes.append((seq, [b[0] for b in bounds], [b[1] for b in bounds], {"i": int, "f": float, "b": bool, "c": int}[self.base.kind](value)))
+            return
+        if value.kind != self.base.kind or value.shape not in (counts(bounds), (prod(counts(bounds)),)):
+            raise IncompatibleTensor(f"a range of shape {counts(bounds)} can't take {value.shape} of {value.kind}")
+        self.tensors.append((seq, bounds, value))
 
     def dumps(self) -> str:
         return self.build().dumps()
 
+    def _box_runs(self) -> DataFrame:
+        """A run for every row of cells of every box."""
+        shape, kind = self.base.shape, scalar.SQL_TYPES[self.base.kind]
+        rows = self.base.spark.createDataFrame(self.boxes, f"seq bigint, low array<bigint>, high array<bigint>, val {kind}")
+        rows = rows.where(F.forall(F.zip_with("low", "high", lambda a, b: a < b), lambda x: x)).withColumn("at", F.lit(0).cast("bigint"))
+        for axis in range(1, len(shape)):
+            rows = rows.withColumn("k", F.explode(F.sequence(F.col("low")[axis], F.col("high")[axis] - 1))).withColumn("at", F.col("at") + F.col("k") * prod(shape[:axis]))
+        return rows.select("seq", (F.col("at") + F.col("low")[0]).alias("start"), (F.col("at") + F.col("high")[0]).alias("end"), "val")
+
     def build(self) -> StepTensor:
-        if not self.updates:
+        frames = [self._box_runs()] if self.boxes else []
+        frames += [scatter(t.frame(), SliceMap(self.base.shape, bounds)).select(F.lit(seq).cast("bigint").alias("seq"), "start", "end", "val") for seq, bounds, t in self.tensors]
+        if not frames:
             return self.base
-        kind = scalar.SQL_TYPES[self.base.kind]
-        cast = {"i": int, "f": float, "b": bool, "c": int}[self.base.kind]
-        frame = self.base.spark.createDataFrame([(s, a, b, cast(v)) for s, a, b, v in self.updates], f"seq bigint, start bigint, end bigint, val {kind}")
-        return apply_updates(frame, self.base.shape, self.value, self.base.kind)
+        return apply_updates(reduce(DataFrame.unionByName, frames), self.base.shape, self.value, self.base.kind)
 
 
 def builder(spark: SparkSession, shape: int | tuple[int, ...], value: Any = 0, dtype: Any = None) -> Builder:

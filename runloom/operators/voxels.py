@@ -5,13 +5,14 @@ from __future__ import annotations
 from functools import reduce as fold
 from itertools import permutations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.functions import scalar
 from runloom.operators import reduce as red
 from runloom.operators.convolve import conv
-from runloom.operators.manipulate import pad, transpose
+from runloom.operators.manipulate import transpose
 from runloom.operators.tensor import StepTensor, map_values, parts_of
 from runloom.plans.align import align
 
@@ -29,21 +30,22 @@ def coordinates(pos: Column, shape: tuple[int, ...]) -> list[Column]:
     return [pos % w, _div(pos, w) % h, _div(pos, w * h)]
 
 
-def _neighbours(t: StepTensor) -> list[StepTensor]:
-    """The tensor and its six neighbours (zero outside), as slices of one padded source."""
-    p = pad(t, 1, 0)
-    cut = lambda at: p[tuple(slice(1 + a, 1 + a + n) for a, n in zip(at, t.shape, strict=True))]
-    return [cut((0, 0, 0))] + [cut(tuple(side if k == axis else 0 for k in range(3))) for axis, side, _ in FACES]
-
-
-def _mask(kind: str):
-    filled = lambda c: scalar.nonzero(c, kind)
-    return lambda own, *near: F.when(filled(own), fold(lambda a, b: a + b, [F.when(filled(n), 0).otherwise(bit) for n, (*_, bit) in zip(near, FACES, strict=True)])).otherwise(0).cast("int")
+def _indicator(t: StepTensor, test) -> StepTensor:
+    return map_values(lambda c: F.when(test(c), 1).otherwise(0), t, kind="i")
 
 
 def adjacency_mask(t: StepTensor) -> StepTensor:
-    """Per filled cell the bits of the sides where nothing is; 0 for empty cells."""
-    return map_values(_mask(t.kind), *_neighbours(t), kind="i", text=f"adjacency({t.text})")
+    """Per filled cell the bits of the sides where nothing is; 0 for empty cells.
+
+    One pass of difference events: every filled run tells its own cells and, with their bits, its neighbours' cells.
+    """
+    own = sum(bit for *_, bit in FACES) + 1
+    kernel = np.zeros((3, 3, 3), np.int32)
+    kernel[1, 1, 1] = own
+    for axis, side, bit in FACES:
+        kernel[tuple(1 + (side if k == axis else 0) for k in (2, 1, 0))] = bit
+    told = conv(_indicator(t, lambda c: scalar.nonzero(c, t.kind)), kernel, 1)
+    return map_values(lambda v: F.when(v >= own, 2 * own - 1 - v).otherwise(0).cast("int"), told, kind="i", text=f"adjacency({t.text})")
 
 
 def walk(mask: StepTensor, *tensors: StepTensor) -> DataFrame:
@@ -164,10 +166,11 @@ def case_triangles(case: int) -> list[tuple[tuple[int, int], ...]]:
 
 
 def corner_mask(t: StepTensor, density: float = 0.5) -> StepTensor:
-    """Per cube of eight cells, the bits of the corners at or above the density."""
-    parts = [t[tuple(slice(o, o + n - 1) for o, n in zip(c, t.shape, strict=True))] for c in CORNERS]
-    bits = lambda *v: fold(lambda a, b: a + b, [F.when(x >= density, 1 << k).otherwise(0) for k, x in enumerate(v)]).cast("int")
-    return map_values(bits, *parts, kind="i", text=f"corners({t.text})")
+    """Per cube of eight cells, the bits of the corners at or above the density: one pass of difference events."""
+    kernel = np.zeros((2, 2, 2), np.int32)
+    for k, (x, y, z) in enumerate(CORNERS):
+        kernel[z, y, x] = 1 << k
+    return conv(_indicator(t, lambda c: c >= density), kernel)
 
 
 def marching_cubes(t: StepTensor, density: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -207,8 +210,6 @@ def marching_cubes(t: StepTensor, density: float = 0.5) -> tuple[DataFrame, Data
 
 def isosurface(t: StepTensor, density: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Marching cubes over the mean of every 2 x 2 x 2 neighbourhood, padded by one."""
-    import numpy as np
-
     return marching_cubes(conv(t.to("f"), np.full((2, 2, 2), 0.125, np.float32), 1).eval(), density)
 
 

@@ -8,11 +8,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runloom import config
 from runloom.functions import scalar
 from runloom.operators import convolve, manipulate, voxels
 from runloom.operators import reduce as red
 from runloom.operators import tensor as T
-from runloom.sources import tables
+from runloom.plans import runs
+from runloom.sources import levels, synthetic, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -44,9 +46,7 @@ def runs_sql(names: str, select: str, *ctes: str) -> str:
 def runs_of(t: T.StepTensor, digits: int | None = None) -> DataFrame:
     val = F.col("val") if digits is None else F.round(F.col("val").cast("double"), digits)
     frame = t.frame() if digits is None else t.frame().withColumn("val", val)
-    from runloom.plans.runs import canonical
-
-    return canonical(frame).select(F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "val")
+    return runs.canonical(frame, t.length).select(F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "val")
 
 
 def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:
@@ -75,7 +75,7 @@ for _n in SOURCES:
     add(f"min_max_{_n}", on(_n, lambda t: t.frame().agg(F.min("val").alias("least"), F.max("val").alias("most"))), f"{with_(_n)} SELECT min(val) AS least, max(val) AS most FROM {_n}")
 add("decode_D", on("D", lambda t: t.cells()), f"{with_('D')} SELECT pos, val FROM D")
 add("decode_M", on("M", lambda t: t.cells()), f"{with_('M')} SELECT pos, val FROM M")
-add("dumps_D", on("D", lambda t: t.runs().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("end", "val"))), lambda r: F.concat(r["end"].cast("string"), F.lit("=>"), r["val"].cast("string"))), ", ").alias("dump"))), f"{with_('D', 'T AS (SELECT pos, val FROM D)', RUNS, f'U AS ({RUNS_OUT})')} SELECT string_agg(end_pos || '=>' || val, ', ' ORDER BY end_pos) AS dump FROM U")
+add("dumps_D", on("D", lambda t: runs.dump_blocks(t.frame(), t.length, 4096)), f"{with_('D', 'T AS (SELECT pos, val FROM D)', RUNS, f'U AS ({RUNS_OUT})')} SELECT CAST(start_pos // 4096 AS BIGINT) AS blk, string_agg(end_pos || '=>' || val, ', ' ORDER BY end_pos) AS dump FROM U GROUP BY 1")
 add("constant_fill", lambda spark, sf: runs_of(T.full(spark, (7, 50), 3)), "SELECT CAST(0 AS BIGINT) AS start_pos, CAST(350 AS BIGINT) AS end_pos, 3 AS val")
 add("eval_E", on("E", lambda t: runs_of((t * 3).eval() + 1)), runs_sql("E", "SELECT pos, val * 3 + 1 AS val FROM E"))
 
@@ -166,8 +166,25 @@ add("transpose_G", on("G", lambda t: runs_of(manipulate.transpose(t))), runs_sql
 for _a, (_key, _name) in enumerate((("y + 50 * z", "x"), ("x + 7 * z", "y"), ("x + 7 * y", "z"))):
     add(f"sum_axis{_a}_G", on("G", lambda t, a=_a: runs_of(red.sum_axis(t, a))), runs_sql("G", f"SELECT {_key} AS pos, CAST(sum(val) AS INTEGER) AS val FROM X GROUP BY 1", _XYZ))
 add("sum_axis_keepdims_G", on("G", lambda t: runs_of(red.sum_axis(t, 1, True) * 2)), runs_sql("G", "SELECT x + 7 * z AS pos, CAST(2 * sum(val) AS INTEGER) AS val FROM X GROUP BY 1", _XYZ))
-add("prod_small", on("D", lambda t: t.spark.range(1).select(F.lit(red.prod_(t[:8] % 5 + 1)).alias("value"))), f"{with_('D')} SELECT CAST(product(val % 5 + 1) AS INTEGER) AS value FROM D WHERE pos < 8")
-add("reduce_max_E", on("E", lambda t: t.spark.range(1).select(F.lit(red.reduce(lambda a, b: a.max(b), t[:1000])).alias("value"))), f"{with_('E')} SELECT max(val) AS value FROM E WHERE pos < 1000")
+one = lambda t, value: t.spark.range(1).select(F.lit(value).alias("value"))
+add("prod_D", on("D", lambda t: one(t, red.prod_(t % 5 * 2 + 1))), f"{with_('D')}, P AS (SELECT list_reduce(list(CAST(val % 5 * 2 + 1 AS BIGINT)), lambda a, b: (a * b) % 4294967296) AS p FROM D) SELECT CAST((p + 2147483648) % 4294967296 - 2147483648 AS INTEGER) AS value FROM P")
+add("prod_zero_D", on("D", lambda t: one(t, red.prod_(t - 7))), f"{with_('D')} SELECT CAST(0 AS INTEGER) AS value FROM D LIMIT 1")
+_STEPS = lambda t: T.where(t == 1, 2.0, T.where(t == 2, 0.5, T.where(t == 3, -1.0, (t * 0 + 1).to(float))))
+add("prod_float_E", on("E", lambda t: one(t, red.prod_(_STEPS(t)))), f"{with_('E')} SELECT product(CASE val WHEN 1 THEN 2.0 WHEN 2 THEN 0.5 WHEN 3 THEN -1.0 ELSE 1.0 END) AS value FROM E")
+add("prod_float_zero_E", on("E", lambda t: one(t, red.prod_(t.to(float)))), f"{with_('E')} SELECT CAST(CASE WHEN count(*) FILTER (WHERE val = 0) > 0 THEN 0 ELSE 1 END AS DOUBLE) AS value FROM E")
+add("reduce_max_E", on("E", lambda t: one(t, red.reduce(lambda a, b: a.max(b), t))), f"{with_('E')} SELECT max(val) AS value FROM E")
+add("reduce_axis_G", on("G", lambda t: runs_of(red.reduce(lambda a, b: a.max(b), t, 1))), runs_sql("G", "SELECT x + 7 * z AS pos, max(val) AS val FROM X GROUP BY 1", _XYZ))
+# Of floats
+_FLOATS = {
+    "floordiv": (lambda a, b: (a - 2.5) // b, "(e.val - 2.5) / d.val"),
+    "mod": (lambda a, b: (a * 7.0 - 9.5) % b, "CAST(e.val * 7.0 - 9.5 AS DOUBLE) % CAST(d.val AS DOUBLE)"),
+    "min": (lambda a, b: (a * 4.0).min(b), "least(e.val * 4.0, d.val)"),
+    "max": (lambda a, b: (a * 4.0).max(b), "greatest(e.val * 4.0, d.val)"),
+    "pow": (lambda a, b: (b * 0.5) ** a, "pow(d.val * 0.5, e.val)"),
+    "coalesce": (lambda a, b: (a * 0.5).coalesce(b), "CASE WHEN e.val <> 0 THEN e.val * 0.5 ELSE d.val END"),
+}
+for _k, (_f, _s) in _FLOATS.items():
+    add(f"{_k}_float_ED", on("ED", lambda a, b, f=_f: runs_of(f(a.to(float), b.to(float)), 3)), runs_sql("ED", f"SELECT e.pos, round(CAST({_s} AS DOUBLE), 3) AS val FROM E e JOIN D d USING (pos)"))
 
 # Neighbourhoods
 SOBEL = np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], np.int32)
@@ -180,14 +197,16 @@ def sobel(t: T.StepTensor) -> T.StepTensor:
 
 add("conv2d_sobel_G", on("G", lambda t: runs_of(sobel(t))), runs_sql("G", f"SELECT r.range AS pos, CAST(coalesce(v, 0) AS INTEGER) AS val FROM range({CELLS}) r LEFT JOIN (SELECT (x - dx) + 350 * (y - dy) AS p, sum(val * w) AS v FROM C, taps WHERE x - dx BETWEEN 0 AND 349 AND y - dy BETWEEN 0 AND 83 GROUP BY 1) o ON o.p = r.range", "C AS (SELECT pos % 350 AS x, pos // 350 AS y, val FROM G WHERE val <> 0)", _SOBEL_TAPS))
 add("conv3d_box_G", on("G", lambda t: runs_of(convolve.conv_3d(t, np.ones((3, 3, 3), np.int32)))), runs_sql("G", "SELECT (x - dx) + 5 * (y - dy) + 240 * (z - dz) AS pos, CAST(sum(val) AS INTEGER) AS val FROM X, (SELECT range AS dx FROM range(3)), (SELECT range AS dy FROM range(3)), (SELECT range AS dz FROM range(3)) WHERE x - dx BETWEEN 0 AND 4 AND y - dy BETWEEN 0 AND 47 AND z - dz BETWEEN 0 AND 81 GROUP BY 1", _XYZ))
-_LINE = "(VALUES (0, 1), (1, 6), (2, 15), (3, 20), (4, 15), (5, 6), (6, 1))"
-add(
-    "blur_G",
-    on("G", lambda t: convolve.gaussian_blur(t[:, 0:12, 0:12]).cells().select("pos", F.round(F.col("val").cast("double"), 3).alias("val"))),
-    f"{with_('G', _XYZ, f'W AS (SELECT column0 AS k, column1 / 64.0 AS w FROM {_LINE} v(column0, column1))')}, O AS (SELECT a.x AS x, b.y AS y, c.z AS z FROM (SELECT range AS x FROM range(7)) a, (SELECT range AS y FROM range(12)) b, (SELECT range AS z FROM range(12)) c) SELECT o.x + 7 * o.y + 84 * o.z AS pos, round(sum(X.val * wx.w * wy.w * wz.w), 3) AS val FROM O o JOIN X ON X.x BETWEEN o.x - 3 AND o.x + 3 AND X.y BETWEEN o.y - 3 AND o.y + 3 AND X.z BETWEEN o.z - 3 AND o.z + 3 AND X.y < 12 AND X.z < 12 JOIN W wx ON wx.k = X.x - o.x + 3 JOIN W wy ON wy.k = X.y - o.y + 3 JOIN W wz ON wz.k = X.z - o.z + 3 GROUP BY 1",
-)
+_LINE = "(VALUES (0, 1), (1, 6), (2, 15), (3, 20), (4, 15), (5, 6), (6, 1)) v(k, w)"
+_BLUR = [f"B{j} AS (SELECT {', '.join(f'b.{c} - v.k + 3 AS {c}' if c == a else f'b.{c}' for c in 'xyz')}, sum(b.val * v.w / 64.0) AS val FROM {'X' if j == 0 else f'B{j - 1}'} b, {_LINE} WHERE b.{a} - v.k + 3 BETWEEN 0 AND {n - 1} GROUP BY ALL)" for j, (a, n) in enumerate(zip("xyz", tables.GRID, strict=True))]
+add("blur_G", on("G", lambda t: convolve.gaussian_blur(t).cells().select("pos", F.round(F.col("val").cast("double"), 3).alias("val"))), f"{with_('G', _XYZ, *_BLUR)} SELECT x + 7 * y + 350 * z AS pos, round(CAST(val AS DOUBLE), 3) AS val FROM B2")
+add("conv2d_float_G", on("G", lambda t: convolve.conv_2d(t.reshape(350, 84).to(float), SOBEL.astype(np.float32) / 2, 1).cells().select("pos", F.round(F.col("val").cast("double"), 3).alias("val"))), f"{with_('G', 'C AS (SELECT pos % 350 AS x, pos // 350 AS y, val FROM G WHERE val <> 0)', _SOBEL_TAPS)} SELECT r.range AS pos, round(CAST(coalesce(v, 0) AS DOUBLE), 3) AS val FROM range({CELLS}) r LEFT JOIN (SELECT (x - dx) + 350 * (y - dy) AS p, sum(val * w) / 2.0 AS v FROM C, taps WHERE x - dx BETWEEN 0 AND 349 AND y - dy BETWEEN 0 AND 83 GROUP BY 1) o ON o.p = r.range")
+_AROUND = "(SELECT range - 1 AS dx FROM range(3)) a, (SELECT range - 1 AS dy FROM range(3)) b, (SELECT range - 1 AS dz FROM range(3)) c WHERE x - dx BETWEEN 0 AND 6 AND y - dy BETWEEN 0 AND 49 AND z - dz BETWEEN 0 AND 83 GROUP BY 1"
+add("sharpen_G", on("G", lambda t: runs_of(convolve.sharpen(t))), runs_sql("G", f"SELECT (x - dx) + 7 * (y - dy) + 350 * (z - dz) AS pos, CAST(sum(CASE WHEN dx = 0 AND dy = 0 AND dz = 0 THEN 26 ELSE -1 END * val) AS INTEGER) AS val FROM X, {_AROUND}", _XYZ))
+add("box_blur_G", on("G", lambda t: convolve.box(t).cells().select("pos", F.round(F.col("val").cast("double"), 3).alias("val"))), f"{with_('G', _XYZ)} SELECT (x - dx) + 7 * (y - dy) + 350 * (z - dz) AS pos, round(sum(val) / 27.0, 3) AS val FROM X, {_AROUND}")
+add("shift_and_not_E", on("E", lambda t: runs_of(t[3:] & ~t[: len(t) - 3])), runs_sql("E", "SELECT a.pos - 3 AS pos, CAST(a.val & ~b.val AS INTEGER) AS val FROM E a JOIN E b ON a.pos = b.pos + 3"))
 add("shift_or_E", on("E", lambda t: runs_of(convolve.shift_or(t, 3))), runs_sql("E", "SELECT a.pos - 3 AS pos, CAST(a.val | b.val AS INTEGER) AS val FROM E a JOIN E b ON a.pos = b.pos + 3"))
-add("downsample_G", on("G", lambda t: runs_of(convolve.downsample(t[0:6, :, :]), 4)), runs_sql("G", "SELECT x // 2 + 3 * (y // 2) + 75 * (z // 2) AS pos, round(avg(val), 4) AS val FROM X WHERE x < 6 GROUP BY 1", _XYZ))
+add("downsample_G", on("G", lambda t: runs_of(convolve.downsample(t), 4)), runs_sql("G", "SELECT x // 2 + 4 * (y // 2) + 100 * (z // 2) AS pos, round(avg(val), 4) AS val FROM X GROUP BY 1", _XYZ))
 add("highlight_runs_D", on("D", lambda t: runs_of(convolve.highlight_runs(t))), runs_sql("D", "SELECT pos, coalesce(val = lead(val) OVER (ORDER BY pos), FALSE) AS val FROM D"))
 
 # Voxels
@@ -198,11 +217,26 @@ add("exposed_faces_G", on("G", voxels.exposed_faces), f"{with_('G', _XYZ, _NEAR,
 _QUADS = ", ".join(f"({k}, {j}, {c[0]}, {c[1]}, {c[2]})" for k, (axis, side, _) in enumerate(voxels.FACES) for j, c in enumerate(voxels._corners(axis, side)))
 add("mesh_vertices_G", on("G", lambda t: voxels.mesh(t)[0].select("quad", "corner", "x", "y", "z", "val")), f"{with_('G', _XYZ, _NEAR, _FACES_SQL)} SELECT CAST(((z * 50 + y) * 7 + x) * 6 + face AS BIGINT) AS quad, corner, CAST(x + cx AS DOUBLE) AS x, CAST(y + cy AS DOUBLE) AS y, CAST(z + cz AS DOUBLE) AS z, val FROM F JOIN (VALUES {_QUADS}) q(f, corner, cx, cy, cz) ON f = face")
 add("mesh_triangles_G", on("G", lambda t: voxels.mesh(t)[1]), f"{with_('G', _XYZ, _NEAR, _FACES_SQL)} SELECT CAST(((z * 50 + y) * 7 + x) * 6 + face AS BIGINT) AS quad, a, b, c FROM F, (VALUES (0, 2, 1), (3, 2, 0)) t(a, b, c)")
-_CUBE = "SELECT X.x + 6 * X.y + 294 * X.z AS pos, CAST(" + " + ".join(f"CASE WHEN k{k}.val >= 2.5 THEN {1 << k} ELSE 0 END" for k in range(8)) + " AS INTEGER) AS val FROM X " + " ".join(f"JOIN X k{k} ON k{k}.x = X.x + {c[0]} AND k{k}.y = X.y + {c[1]} AND k{k}.z = X.z + {c[2]}" for k, c in enumerate(voxels.CORNERS))
+_CUBE = "SELECT x - cx + 6 * (y - cy) + 294 * (z - cz) AS pos, CAST(sum(CASE WHEN val >= 2.5 THEN bit ELSE 0 END) AS INTEGER) AS val FROM X, (VALUES " + ", ".join(f"({c[0]}, {c[1]}, {c[2]}, {1 << k})" for k, c in enumerate(voxels.CORNERS)) + ") c(cx, cy, cz, bit) WHERE x - cx BETWEEN 0 AND 5 AND y - cy BETWEEN 0 AND 48 AND z - cz BETWEEN 0 AND 82 GROUP BY 1"
 add("mc_corner_mask_G", on("G", lambda t: runs_of(voxels.corner_mask(t, 2.5))), runs_sql("G", _CUBE, _XYZ))
-_CROSS = " UNION ALL ".join(f"SELECT CAST((a.x + 7 * a.y + 350 * a.z) * 3 + {k} AS BIGINT) AS id FROM X a JOIN X b ON b.x = a.x + {int(k == 0)} AND b.y = a.y + {int(k == 1)} AND b.z = a.z + {int(k == 2)} WHERE (a.val >= 2.5) <> (b.val >= 2.5)" for k in range(3))
-add("mc_vertices_G", on("G", lambda t: voxels.marching_cubes(t, 2.5)[0].select("id")), f"{with_('G', _XYZ)} {_CROSS}")
-add("marching_cubes_G", on("G", lambda t: voxels.marching_cubes(t, 2.5)[1]), None)
+
+
+def _cross(table: str, shape: tuple[int, ...], density: float) -> str:
+    """Vertices where edges of the lattice cross the density."""
+    w, h = shape[0], shape[0] * shape[1]
+    axis = lambda k, c: f"round(a.{c} + {'(' + str(density) + ' - a.val) / (CAST(b.val AS DOUBLE) - a.val)' if 'xyz'[k] == c else '0.0'}, 5) AS {c}"
+    return " UNION ALL ".join(f"SELECT CAST((a.x + {w} * a.y + {h} * a.z) * 3 + {k} AS BIGINT) AS id, {', '.join(axis(k, c) for c in 'xyz')} FROM {table} a JOIN {table} b ON b.x = a.x + {int(k == 0)} AND b.y = a.y + {int(k == 1)} AND b.z = a.z + {int(k == 2)} WHERE (a.val >= {density}) <> (b.val >= {density})" for k in range(3))
+
+
+def _points(vertices: DataFrame) -> DataFrame:
+    return vertices.select("id", *(F.round(c, 5).alias(c) for c in "xyz"))
+
+
+add("mc_vertices_G", on("G", lambda t: _points(voxels.marching_cubes(t, 2.5)[0])), f"{with_('G', _XYZ)} {_cross('X', tables.GRID, 2.5)}")
+_TRIANGLES = ", ".join(f"({case}, {', '.join(str((c & 1) + 7 * (c >> 1 & 1) + 350 * (c >> 2)) + ', ' + str(axis) for c, axis in tri)})" for case in range(1, 255) for tri in voxels.case_triangles(case))
+add("marching_cubes_G", on("G", lambda t: voxels.marching_cubes(t, 2.5)[1]), f"{with_('G', _XYZ, f'Q AS ({_CUBE})')} SELECT " + ", ".join(f"CAST((p + s{k}) * 3 + x{k} AS BIGINT) AS {c}" for k, c in enumerate("abc")) + f" FROM (SELECT val, pos % 6 + 7 * ((pos // 6) % 49) + 350 * (pos // 294) AS p FROM Q) q JOIN (VALUES {_TRIANGLES}) t(v, s0, x0, s1, x1, s2, x2) ON v = val")
+_LATTICE = "L AS (SELECT x + dx AS x, y + dy AS y, z + dz AS z, sum(val) / 8.0 AS val FROM X, (SELECT range AS dx FROM range(2)) a, (SELECT range AS dy FROM range(2)) b, (SELECT range AS dz FROM range(2)) c GROUP BY ALL)"
+add("isosurface_G", on("G", lambda t: _points(voxels.isosurface(t, 1.3)[0])), f"{with_('G', _XYZ, _LATTICE)} {_cross('L', (8, 51, 85), 1.3)}")
 add("topdown_map_G", on("G", lambda t: voxels.topdown(t)), f"{with_('G', _XYZ)} SELECT x AS a, z AS b, arg_max(val, y) AS val, max(y) AS height FROM X WHERE val <> 0 GROUP BY x, z")
 add("bounding_box_G", on("G", voxels.bounding_box), f"{with_('G', _XYZ)} SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM X WHERE val <> 0")
 _ORDERS = " UNION ALL ".join(
@@ -214,11 +248,79 @@ add("color_join_G", on("G", lambda t: red.histogram(t).join(voxels.color_config(
 
 
 def _synthetic(spark: SparkSession, sf: str) -> DataFrame:
-    from runloom.sources.synthetic import run_length_array
-
-    a, b = (run_length_array(spark, 200_000, 20_000, 100, True, s) for s in (1, 2))
+    a, b = (synthetic.run_length_array(spark, 200_000, 20_000, 100, True, s) for s in (1, 2))
     return runs_of(a + b)
 
 
-add("synthetic_runs_add", _synthetic, None)
+def _drawn(name: str, seed: int, stream: int) -> str:
+    """The generator's draws of 200 rows, step by step."""
+    u, m = f"SELECT id, (id * 7919 + {seed * 104729 + stream * 1299709 + 12345}) % {synthetic.PRIME} AS u FROM (SELECT range AS id FROM range(200))", synthetic.PRIME
+    for f in synthetic.FACTORS:
+        u = f"SELECT id, u * u % {m} AS u FROM (SELECT id, (u * {f} + id) % {m} AS u FROM ({u}))"
+    return f"{name} AS ({u})"
+
+
+def _run_array(name: str, seed: int) -> list[str]:
+    cells = f"SELECT s.u % 200000 + k.range AS pos, arg_max(v.u % 32768, s.id) AS val FROM {name}s s JOIN {name}v v USING (id), range(100) k WHERE s.u % 200000 + k.range < 200000 GROUP BY 1"
+    return [_drawn(f"{name}s", seed, 0), _drawn(f"{name}v", seed, 1), f"{name} AS ({cells})"]
+
+
+add("synthetic_runs_add", _synthetic, runs_sql("", "SELECT r.range AS pos, CAST(coalesce(A1.val, 0) + coalesce(A2.val, 0) AS INTEGER) AS val FROM range(200000) r LEFT JOIN A1 ON A1.pos = r.range LEFT JOIN A2 ON A2.pos = r.range", *_run_array("A1", 1), *_run_array("A2", 2)))
+
+
+# Builders, points, levels, assembly, colours
+def _built_points(t: T.StepTensor) -> DataFrame:
+    b = T.builder(t.spark, len(t), -1)
+    for k in range(60):
+        b[k * k * 37 % len(t)] = k
+    return runs_of(b.build())
+
+
+def _built_boxes(t: T.StepTensor) -> DataFrame:
+    b = T.builder(t.spark, t.shape, 0)
+    b[1:5, 10:40, 3:60] = 7
+    b[2:4, 0:50, 50:84] = t[2:4, 0:50, 50:84]
+    b[0:1, 5:6, 0:84] = -2
+    b[3, 20, 55] = 99
+    b[6, :, 7] = 5
+    return runs_of(b.build())
+
+
+add("point_set_E", on("E", lambda t: runs_of(t.set(777, 42))), runs_sql("E", "SELECT pos, CASE WHEN pos = 777 THEN 42 ELSE val END AS val FROM E"))
+add("builder_points_E", on("E", _built_points), runs_sql("E", "SELECT e.pos, CAST(coalesce(k, -1) AS INTEGER) AS val FROM E e LEFT JOIN (SELECT (range * range * 37) % (SELECT count(*) FROM E) AS p, max(range) AS k FROM range(60) GROUP BY 1) b ON b.p = e.pos"))
+add("builder_boxes_G", on("G", _built_boxes), runs_sql("G", "SELECT x + 7 * y + 350 * z AS pos, CASE WHEN x = 6 AND z = 7 THEN 5 WHEN x = 3 AND y = 20 AND z = 55 THEN 99 WHEN x = 0 AND y = 5 THEN -2 WHEN x BETWEEN 2 AND 3 AND z >= 50 THEN val WHEN x BETWEEN 1 AND 4 AND y BETWEEN 10 AND 39 AND z BETWEEN 3 AND 59 THEN 7 ELSE 0 END AS val FROM X", _XYZ))
+
+
+def _built_row(spark: SparkSession, sf: str) -> DataFrame:
+    b = T.builder(spark, (1, 6), 0)
+    b[0, 1:5] = 9
+    b[0, 2:3] = T.from_list(spark, [4])
+    return runs_of(b.build())
+
+
+add("builder_leading_one", _built_row, "SELECT CAST(s AS BIGINT) AS start_pos, CAST(e AS BIGINT) AS end_pos, v AS val FROM (VALUES (0, 1, 0), (1, 2, 9), (2, 3, 4), (3, 5, 9), (5, 6, 0)) t(s, e, v)")
+add("from_numpy", lambda spark, sf: runs_of(T.from_numpy(spark, np.arange(120).reshape(10, 12) // 7 % 4)), runs_sql("", "SELECT range AS pos, CAST(range // 7 % 4 AS INTEGER) AS val FROM range(120)", "N AS (SELECT 1)"))
+
+
+def _level(t: T.StepTensor) -> DataFrame:
+    path = config.fresh_path(t.spark, "level")
+    levels.dump(t, path)
+    return runs_of(levels.load(t.spark, path))
+
+
+def _assembled(t: T.StepTensor) -> DataFrame:
+    """The grid cut into blocks of 7 x 10 x 12 cells and put together again."""
+    x, y, z = voxels.coordinates(F.col("pos"), t.shape)
+    low = [F.lit(0).cast("bigint"), y - y % 10, z - z % 12]
+    inner = x + 7 * (y % 10) + 70 * (z % 12)
+    cells = t.cells().select(*(c.alias(n) for c, n in zip(low, ("cx", "cy", "cz"), strict=True)), inner.alias("start"), (inner + 1).alias("end"), "val")
+    return runs_of(manipulate.assemble(cells, (7, 10, 12), t.shape))
+
+
+add("level_G", on("G", _level), runs_sql("G", "SELECT pos, val FROM G"))
+add("assembly_G", on("G", _assembled), runs_sql("G", "SELECT pos, val FROM G"))
+add("unpack_rgba", lambda spark, sf: tables.table(spark, sf, "part").select("p_partkey", *(c.alias(n) for c, n in zip(scalar.unpack_rgba(F.col("p_partkey") * 7919), "rgba", strict=True))), "SELECT p_partkey, " + ", ".join(f"CAST((p_partkey * 7919 >> {8 * k}) & 255 AS INTEGER) AS {c}" for k, c in enumerate("rgba")) + " FROM part")
+_HUE = "SELECT p_partkey, h, 0.6 AS c, 0.6 * (1 - abs(h % 2 - 1)) AS s FROM (SELECT p_partkey, ((p_partkey * 0.6180339887498949::DOUBLE) % 1.0) * 6 AS h FROM part)"
+_PICK = {"r": "csoosc", "g": "sccsoo", "b": "oosccs"}
+add("hue_colors", lambda spark, sf: voxels.hue_colors(tables.table(spark, sf, "part").select("p_partkey"), "p_partkey"), "SELECT p_partkey, " + ", ".join(f"CAST(round((CASE CAST(floor(h) AS INTEGER) " + " ".join(f"WHEN {k} THEN {'0.0' if q == 'o' else q}" for k, q in enumerate(order)) + f" END + 0.2) * 255) AS INTEGER) AS {c}" for c, order in _PICK.items()) + f", 255 AS a FROM ({_HUE})")
 add("flagship", on("G", lambda t: runs_of(sobel(t))), ORACLE_SQL["conv2d_sobel_G"])

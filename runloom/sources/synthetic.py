@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.operators.tensor import StepTensor, apply_updates, from_runs, from_sparse
 
 
+#: A prime and multipliers of the draws below.
+PRIME, FACTORS = (1 << 31) - 1, (48271, 69621, 39373)
+
+
+def draw(key: Column, seed: int, stream: int) -> Column:
+    """A number from 0 to PRIME - 1 of a row's key: the same on any number of partitions, in plain integer arithmetic."""
+    u = (key * 7919 + (seed * 104729 + stream * 1299709 + 12345)) % PRIME
+    for f in FACTORS:
+        u = (u * f + key) % PRIME
+        u = u * u % PRIME
+    return u
+
+
 def run_length_array(spark: SparkSession, num_elements: int, num_non_zero: int, run_length: int, deterministic_run_length: bool = True, random_seed: int = 0) -> StepTensor:
     """Runs of values 0 to 32767 at random places over zeros, later runs over earlier; lengths fixed, or random about the given."""
     n = max(1, num_non_zero // max(1, run_length))
-    size = F.lit(run_length).cast("bigint") if deterministic_run_length else (1 + F.floor(F.rand(random_seed + 2) * (2 * run_length - 1))).cast("bigint")
-    rows = spark.range(n).select(F.col("id").alias("seq"), F.floor(F.rand(random_seed) * num_elements).cast("bigint").alias("start"), size.alias("size"), F.floor(F.rand(random_seed + 1) * 32768).cast("int").alias("val"))
+    size = F.lit(run_length).cast("bigint") if deterministic_run_length else 1 + draw(F.col("id"), random_seed, 2) % max(1, 2 * run_length - 1)
+    rows = spark.range(n).select(F.col("id").alias("seq"), (draw(F.col("id"), random_seed, 0) % num_elements).alias("start"), size.alias("size"), (draw(F.col("id"), random_seed, 1) % 32768).cast("int").alias("val"))
     rows = rows.select("seq", "start", F.least(F.col("start") + F.col("size"), F.lit(num_elements)).alias("end"), "val")
     return apply_updates(rows, num_elements, 0, "i")
 

@@ -46,6 +46,51 @@ def test_runs_and_dumps(spark):
     b[5] = 1
     assert b.build().to_list() == [1, 3, 9, 9, 9, 1, 9, 9, 1, 1]
     assert T.full(spark, 1, 7).item() == 7
+    b = T.builder(spark, (1, 6))
+    b[0, 1:5] = 9
+    assert b.build().to_list() == [0, 9, 9, 9, 9, 0]
+    rng = np.random.default_rng(5)
+    b, dense = T.builder(spark, (5, 4, 3), 1), np.ones((3, 4, 5), np.int32)
+    for k in range(25):
+        low = [int(rng.integers(0, n)) for n in (5, 4, 3)]
+        cut = tuple(slice(a, int(rng.integers(a, n + 1))) for a, n in zip(low, (5, 4, 3)))
+        if k % 3:
+            b[cut], dense[cut[::-1]] = k, k
+        else:
+            block = rng.integers(0, 9, dense[cut[::-1]].shape).astype(np.int32)
+            dense[cut[::-1]] = block
+            if block.size:
+                b[cut] = T.from_numpy(spark, block)
+    assert b.build().to_numpy().tolist() == dense.tolist()
+
+
+def test_many_updates_of_one_place(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(40_000).select(F.col("id").alias("seq"), (F.col("id") % 3).alias("start"), (F.col("id") % 3 + 1 + F.col("id") % 50).alias("end"), (F.col("id") % 1000).cast("int").alias("val"))
+    dense = np.full(60, -1)
+    for k in range(39_000, 40_000):
+        dense[k % 3 : k % 3 + 1 + k % 50] = k % 1000
+    assert T.apply_updates(rows, 60, -1, "i").to_list() == dense.tolist()
+
+
+def test_no_window_holds_the_whole_domain(spark):
+    from runloom.plans import runs as R
+
+    a = np.repeat(np.random.default_rng(0).integers(0, 2, 4000), 3).astype(np.int32)
+    a[2000:9000] = 1
+    frame = T.from_numpy(spark, a).frame()
+    for block, fan in ((4, 3), (16, 4), (1 << 16, 4)):
+        R.FAN, before = fan, R.FAN
+        try:
+            got = R.canonical(R.split(frame, 7).select("start", "end", "val"), len(a), block)
+            rows = sorted(tuple(r) for r in got.collect())
+        finally:
+            R.FAN = before
+        start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        assert rows == [(s, e, a[s]) for s, e in zip(start.tolist(), [*start[1:].tolist(), len(a)])]
+    plan = R.canonical(frame, 1 << 40)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
 
 
 def test_strided_sets_in_two_dimensions(spark):
@@ -109,6 +154,15 @@ def test_reductions(spark):
         assert reduce.sum(T.from_list(spark, values, "i")) == want
     t = T.from_list(spark, [3, 3, -2, 5])
     assert reduce.prod_(t) == -90
+    for values in ([], [0, 5], [7] * 40, [2] * 31, [2] * 32, [-1, -1, -1], [123456789, -987654321, 4, 3], [2**31 - 1, -(2**31), 1], [-(2**31), 3]):
+        want = 1
+        for v in values:
+            want = want * v % 2**32
+        assert reduce.prod_(T.from_list(spark, values, "i")) == (want + 2**31) % 2**32 - 2**31, values
+    assert reduce.prod_(T.from_list(spark, [2.0, 0.0, 3.0])) == 0.0 and reduce.prod_(T.from_list(spark, [], "f")) == 1.0
+    assert reduce.prod_(T.from_list(spark, [2.0, -0.5, 3.0])) == -3.0
+    long = np.arange(1000) * 37 % 911
+    assert reduce.reduce(lambda a, b: a - b * 0 + b, T.from_list(spark, long.tolist())) == long.sum()
     assert reduce.reduce(lambda a, b: a.max(b), t) == 5
     assert {r[0]: r[1] for r in reduce.histogram(t).collect()} == {3: 2, -2: 1, 5: 1}
     a = np.arange(24, dtype=np.int32).reshape(2, 3, 4)
@@ -139,6 +193,11 @@ def test_convolution(spark):
     assert np.allclose(got, want)
     assert convolve.conv(T.full(spark, (3, 3), 1), np.ones((2, 2), np.int32), 1, 4).to_numpy().tolist() == [[13, 10, 10, 13], [10, 4, 4, 10], [10, 4, 4, 10], [13, 10, 10, 13]]
     assert np.allclose(convolve.downsample(t).to_numpy(), a.reshape(32, 2, 32, 2).mean((1, 3)))
+    n = np.random.default_rng(3).integers(-4, 9, (5, 4, 7)).astype(np.int32)
+    edge = np.pad(n, [(0, 1), (0, 0), (0, 1)], mode="edge")
+    assert np.allclose(convolve.downsample(T.from_numpy(spark, n)).to_numpy(), edge.reshape(3, 2, 2, 2, 4, 2).mean((1, 3, 5)))
+    assert np.allclose(convolve.box(t).to_numpy(), sum(p[i : i + 64, j : j + 64] for i in range(3) for j in range(3)) / 9)
+    assert convolve.sharpen(t).to_numpy().tolist() == (9 * a - sum(p[i : i + 64, j : j + 64] for i in range(3) for j in range(3))).tolist()
     assert convolve.highlight_runs(T.from_list(spark, [1, 1, 2, 2, 2, 3])).to_list() == [True, False, True, True, False, False]
 
 
