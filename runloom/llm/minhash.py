@@ -8,10 +8,12 @@ centre, not k * k; pairs are confirmed on full sets. Where a bucket still holds
 another centre, and at last the classes outside the bucket's largest component are compared with the classes of other
 components, unless sizes, shingles that only one of them has or bit sketches rule a link out. So no link between components is lost to the star shape.
 
-With 21 bands of 6 rows a pair of similarity 0.85 shares a bucket with probability over 0.9999.
+With 21 bands of 6 rows a pair of similarity 0.85 shares a bucket with probability over 0.9999; below that the bands have 5
+rows, and 25 of them catch a pair of 0.8 as surely.
 
 Null and empty texts and texts without words have the empty set: no links. Fewer than five words: the whole sequence is
-the one shingle. ``id`` names a document: rows that repeat one exactly are the same document. Other columns are ignored.
+the one shingle. ``id`` names a document: rows that repeat one exactly are the same document. A null id names none: such a row
+links with nothing, has no component and is kept. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from runloom.llm.graph import components
 from runloom.llm.shared import stored
 
 WORDS, BANDS, ROWS = 5, 21, 6
+#: Bands and rows below 85 percent.
+LOOSE_BANDS, LOOSE_ROWS = 25, 5
 #: Rounds after the first star; the last is the exact remainder.
 ROUNDS = 2
 #: A sketch of 126 bits rules a pair out below this similarity: over five standard deviations under the threshold.
@@ -142,10 +146,11 @@ def _sketch_similarity(x: str, y: str, bins: int):
     return 1 - 2 * differ / bins
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int | None = None, rows: int | None = None, words: int = WORDS) -> DataFrame:
     """Per document: id, n_shingles, component_id (smallest id reachable by links, itself included), kept."""
+    bands, rows = bands or (BANDS if percent >= 85 else LOOSE_BANDS), rows or (ROWS if percent >= 85 else LOOSE_ROWS)
     sk = stored(sketches(docs, id_col, text_col, bands, rows, words), "sketches")
-    classes = stored(sk.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
+    classes = stored(sk.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
     reps = sk.join(classes.select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"])
     exploded = reps.select("id", F.explode("bands").alias("key"))
     shared = exploded.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("k")).where("k > 1").select("key", "centre")
@@ -182,8 +187,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             mixed = _mixed(members, found)
     named = sk.join(classes, ["h1", "h2"], "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"))
     out = named.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep")
-    return out.select("id", "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep"))
+    return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:

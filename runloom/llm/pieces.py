@@ -163,7 +163,7 @@ class PieceLattice:
         first, cdf, source, piece = self.filter_forward(np.frombuffer(own, np.uint8)[: own_bounds[-1]], own_bounds)
         begin = own_bounds[:-1] + np.arange(len(own_bounds) - 1)
         row = np.searchsorted(bounds, starts, "right") - 1
-        salt = mix64(keys.astype(np.uint64) + np.uint64(seed) * _GOLD)[row] + (starts - bounds[row]).astype(np.uint64) * _GOLD
+        salt = mix64(keys.astype(np.uint64) + np.array([seed], np.uint64) * _GOLD)[row] + (starts - bounds[row]).astype(np.uint64) * _GOLD
         node = begin[code] + np.diff(own_bounds)[code]
         active, drawn, step = np.arange(len(starts)), [], 0
         while len(active):

@@ -9,7 +9,7 @@ from runloom.llm import editcount, htmltext, langid, minhash, packing, pieces, q
 from runloom.llm.shared import read_table
 
 #: Fixed values of the queries.
-END_ID, CAPACITY, VOCABULARY = 1, 4096, "word_bpe_49k.json"
+END_ID, CAPACITY, PERCENT, VOCABULARY = 1, 4096, 85, "word_bpe_49k.json"
 BYTE_VOCABULARY, PIECE_VOCABULARY, SEED = "byte_bpe_50k.json", "piece_bpe_32k.model", 17
 
 
@@ -74,7 +74,7 @@ def op7_langid_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), PERCENT).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_edit_aware_counts, op2_tag_path_ratios, op3_secret_scans, op4_sorted_projections, op5_token_files, op6_quality_rules, op7_langid_filters, op8_minhash_near_dedup, op9_sampled_pieces, op10_best_fit_packing)}

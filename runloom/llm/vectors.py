@@ -15,7 +15,7 @@ with that to the power of log2(group / BLOCK) at least, however the vectors are
 takes ``PASSES`` passes, or as many as miss no more than ``MISS`` of the pairs at the threshold.
 
 Vectors that are null, zero or hold null or non-finite components link with nothing, nor does a null label; vectors of
-different dimension don't link. Repeated vec_ids count as one vector each in n_links and share a component. Empty tables
+different dimension don't link. A null vec_id names no vector: it links with nothing and is kept. Repeated vec_ids count as one vector each in n_links and share a component. Empty tables
 give no rows; other columns are ignored.
 """
 
@@ -145,7 +145,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), F.col(label_col).alias("label"))
     # cast to double first: the finite test and the zero test then see the values that are compared
     finite = F.coalesce(F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf"))), F.lit(False))
-    valid = finite & F.exists("vector", lambda v: v != 0) & F.col("label").isNotNull()
+    valid = finite & F.exists("vector", lambda v: v != 0) & F.col("label").isNotNull() & F.col("id").isNotNull()
     rows = rows.withColumn("valid", F.coalesce(valid, F.lit(False)))
     classes = rows.where("valid").groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     classes = stored(classes.withColumn("dim", F.size("vector")), "classes")
@@ -166,4 +166,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     same = (F.col("r.label") == F.col("c.label")) & (F.col("r.vector") == F.col("c.vector")) & F.col("r.valid")
     out = rows.alias("r").join(per_class.alias("c"), same, "left")
     component = F.coalesce("component", "id")
-    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
