@@ -3,8 +3,8 @@
 A document is the set of its distinct five-word shingles (ASCII letters lower-cased, words split at ASCII white space).
 One hash per shingle fills ``BANDS * ROWS`` bins with the least hash of each bin's range; an empty bin borrows from the bin
 that its own fixed probe sequence meets first. Documents of equal sets form a class and only one row of a class goes on.
-Classes that share a band share a bucket. A bucket of k classes gives k - 1 candidate pairs, each class with the bucket's
-centre, not k * k; pairs are confirmed on full sets. Where a bucket still holds several components, a further round takes
+Classes that share a band share a bucket. A bucket is dealt over ``PARTS`` parts by a hash of the id, and its k classes give
+k - 1 candidate pairs: each class with the centre of its part, each of these with the bucket's centre, not k * k; pairs are confirmed on full sets. Where a bucket still holds several components, a further round takes
 another centre, and at last the classes outside the bucket's largest component are compared with the classes of other
 components, unless sizes, shingles that only one of them has or bit sketches rule a link out. So no link between components is lost to the star shape.
 
@@ -35,6 +35,8 @@ WORDS, BANDS, ROWS = 5, 21, 6
 LOOSE_BANDS, LOOSE_ROWS = 25, 5
 #: Rounds after the first star; the last is the exact remainder.
 ROUNDS = 2
+#: Parts that every bucket is dealt over, by a hash of the id: no bucket, however large, is joined in one task.
+PARTS = 16
 #: A sketch of 126 bits rules a pair out below this similarity: over five standard deviations under the threshold.
 SKETCH_LEAST = 0.55
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -152,12 +154,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     sk = stored(sketches(docs, id_col, text_col, bands, rows, words), "sketches")
     classes = stored(sk.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
     reps = sk.join(classes.select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"])
-    exploded = reps.select("id", F.explode("bands").alias("key"))
-    shared = exploded.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("k")).where("k > 1").select("key", "centre")
-    members = stored(exploded.join(shared, "key"), "buckets")
+    exploded = reps.select("id", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part"), F.explode("bands").alias("key"))
+    parts = exploded.groupBy("key", "part").agg(F.min("id").alias("near"), F.count("*").alias("k"))
+    shared = parts.groupBy("key").agg(F.min("near").alias("centre"), F.sum("k").alias("k")).where("k > 1").select("key", "centre")
+    members = stored(exploded.join(parts.join(shared, "key").select("key", "part", "near", "centre"), ["key", "part"]), "buckets")
     in_buckets = members.select("id").distinct()
     texts = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(in_buckets, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    pairs = members.where("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
+    pairs = members.where("id != centre").select(F.col("id").alias("a"), F.when(F.col("id") != F.col("near"), F.col("near")).otherwise(F.col("centre")).alias("b")).distinct()
     tested = stored(pairs, "tested")
     links = stored(confirmed(tested, texts, percent, words), "confirmed")
     found = components(links)
@@ -168,13 +171,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
             break
         if sized is None:
             sized = stored(_sized(mixed, reps, texts, percent, words), "sized")
-            members = stored(members.select("key", "id").join(mixed.select("key").distinct(), "key", "left_semi").join(sized.select("id"), "id", "left_semi"), "buckets")
+            members = stored(members.select("key", "part", "id").join(mixed.select("key", "part").distinct(), ["key", "part"], "left_semi").join(sized.select("id"), "id", "left_semi"), "buckets")
             mixed = _mixed(members, found)
         if turn < ROUNDS:
             # the member that has the least to itself: most copies of one source are nearest to it
             rank = F.struct(-F.col("common") / F.col("n"), F.xxhash64("id", F.lit(turn)), "id")
             centres = mixed.join(sized, "id").groupBy("key").agg(F.min_by(F.struct("id", "component"), rank).alias("c"))
-            more = mixed.join(centres, "key").where("component != c.component").select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b"))
+            more = mixed.join(_to_parts(centres), ["key", "part"]).where("component != c.component").select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b"))
         else:
             more = _remainder(mixed, sized, bands * rows, percent)
         more = stored(more.distinct().join(tested, ["a", "b"], "left_anti"), "tested")
@@ -191,11 +194,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def _to_parts(per_key: DataFrame) -> DataFrame:
+    """A row of each bucket, for every part of it."""
+    return per_key.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+
+
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members (key, id, component) of the buckets that hold more than one component."""
-    named = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    """Members (key, part, id, component) of the buckets that hold more than one component."""
+    named = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "part", "id", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    return stored(named.join(mixed, "key", "left_semi"), "mixed")
+    return stored(named.join(_to_parts(mixed), ["key", "part"], "left_semi"), "mixed")
 
 
 def _own_shingles(texts: DataFrame, words: int) -> DataFrame:
@@ -227,9 +235,10 @@ def _remainder(mixed: DataFrame, sized: DataFrame, bins: int, percent: int) -> D
     """
     sizes = mixed.groupBy("key", "component").agg(F.count("*").alias("k"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-    rows = stored(mixed.join(main, "key").join(sized, "id"), "remainder")
-    x, y = rows.where("component != main").alias("x"), rows.alias("y")
+    rows = stored(mixed.join(_to_parts(main), ["key", "part"]).join(sized, "id"), "remainder")
+    # those outside the largest component stay in their parts, and every part sees the whole bucket
+    x, y = rows.where("component != main").alias("x"), _to_parts(rows.drop("part")).alias("y")
     most = F.least("x.common", "y.common")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (most * 100 >= percent * (F.col("x.n") + F.col("y.n") - most)) & (_sketch_similarity("x", "y", bins) >= SKETCH_LEAST)
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.component") != F.col("y.component")) & (most * 100 >= percent * (F.col("x.n") + F.col("y.n") - most)) & (_sketch_similarity("x", "y", bins) >= SKETCH_LEAST)
     near = near & (F.col("x.key") == F.array_min(F.array_intersect("x.bands", "y.bands")))  # one of the buckets that both share
     return x.join(y, near).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))

@@ -29,9 +29,9 @@ def components(n, links):
     return [find(k) for k in range(n)]
 
 
-def brute(texts):
+def brute(texts, percent=85):
     sets = [shingles(t) for t in texts]
-    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     comp = components(len(sets), links)
     return {k: (len(sets[k]), comp[k], comp[k] == k) for k in range(len(sets))}
 
@@ -41,7 +41,7 @@ def result(df):
 
 
 def test_edge_cases(docs, texts):
-    assert result(minhash.near_duplicates(docs)) == brute(texts)
+    assert result(minhash.near_duplicates(docs, 85)) == brute(texts)
     assert minhash.near_duplicates(docs).count() == len(texts) + 1
     assert minhash.near_duplicates(docs.where("false")).count() == 0
 
@@ -56,12 +56,20 @@ def test_a_family_of_edited_copies(spark):
             words[at] = f"edit{rng.integers(0, 60)}"
         texts.append(" ".join(words))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    assert result(minhash.near_duplicates(df)) == brute(texts)
+    for percent in (85, 80):
+        assert result(minhash.near_duplicates(df, percent)) == brute(texts, percent)
+
+
+def test_null_ids_link_with_nothing(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    df = spark.createDataFrame([(None, text), (4, text), (9, text), (None, None)], "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in minhash.near_duplicates(df).select("n_shingles", F.coalesce("id", F.lit(-1)), F.coalesce("component_id", F.lit(-1)), "kept").collect())
+    assert got == [(0, -1, -1, True), (26, -1, -1, True), (26, 4, 4, True), (26, 9, 4, False)]
 
 
 def test_real_documents(real):
     rows = [r["text"] for r in real.orderBy("doc_id").collect()]
-    assert result(minhash.near_duplicates(real)) == brute(rows)
+    assert result(minhash.near_duplicates(real)) == brute(rows, 80)
 
 
 def test_components_of_a_long_chain(spark):
