@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.llm import editcount, htmltext, langid, minhash, packing, pieces, quality, secrets, tokens_io, vectors
-from runloom.llm.shared import read_table
+from runloom.llm.shared import read_table, stored
 
 #: Fixed values of the queries.
 END_ID, CAPACITY, PERCENT, VOCABULARY = 1, 4096, 85, "word_bpe_49k.json"
@@ -29,10 +29,12 @@ def planned_edits(text: str = "text", key: str = "doc_id") -> Column:
 
 
 def op1_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of all documents, stored, then read again for a batch of edits."""
     import public_tokenizers
 
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return editcount.count_edited(docs.withColumn("edits", planned_edits()), vocabulary(BYTE_VOCABULARY), public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+    by = vocabulary(BYTE_VOCABULARY), public_tokenizers.PATTERN
+    trees = stored(editcount.plant(read_table(spark, sf_dir, "documents"), *by), "trees")
+    return editcount.apply_edits(trees.withColumn("edits", planned_edits(key="id")), *by, keep_trees=False).withColumnRenamed("id", "doc_id")
 
 
 def op2_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:

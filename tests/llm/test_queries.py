@@ -121,10 +121,25 @@ def test_languages(spark, rows, table):
         assert r["lang_pred"] == model.langs[int(np.argmax(fixed))] and abs(r["score"] - max(fixed)) < 1e-9
 
 
-def test_pages_and_pieces_and_edits(rows, table):
+def test_pages_and_pieces(rows):
     assert all(r["lossless"] for r in rows("op9_sampled_pieces"))
     assert all(r["n_chars"] == len(r["text"]) for r in rows("op2_tag_path_ratios"))
-    assert {r["doc_id"] for r in rows("op1_edit_aware_counts")} == set(table)
+
+
+def test_edits(spark, rows, table):
+    """The edits of the query, applied to plain texts and counted by the library."""
+    tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    size = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    planned = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", queries.planned_edits().alias("edits")).collect()
+    want = {}
+    for r in planned:
+        new = old = table[r["doc_id"]] or ""
+        for e in r["edits"]:
+            at = min(e["at"], len(new))
+            new = new[:at] + e["add"] + new[at + e["cut"] :]
+        want[r["doc_id"]] = (size(old), size(new), len(new))
+    assert {r["doc_id"]: (r["n_tokens"], r["n_tokens_edited"], r["n_chars_edited"]) for r in rows("op1_edit_aware_counts")} == want
 
 
 def test_stages_take_odd_tables(spark):

@@ -1,5 +1,6 @@
 """Token files, packing, edit-aware counts and sampled pieces: against the tokenizers library and by round trips."""
 
+import random
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from runloom.llm import editcount, packing, pieces, tokens_io
+from runloom.llm.shared import stored
 
 from .conftest import path
 
@@ -120,23 +122,80 @@ def test_plan_packs_any_histogram():
     assert packing.plan(np.zeros(9, np.int64)) == []
 
 
-def test_counts_after_edits_equal_full_counts(spark, docs, texts):
+@pytest.fixture(scope="module")
+def sizes():
+    """Tokens of a whole text by the library, and the operator's vocabulary and pattern."""
     import public_tokenizers
 
-    edits = F.array(F.struct(F.lit(3).alias("at"), F.lit(5).alias("cut"), F.lit(" new  word").alias("add")), F.struct(F.lit(10_000_000).alias("at"), F.lit(4).alias("cut"), F.lit("!\n").alias("add")))
-    chosen = docs.withColumn("edits", F.when(F.col("doc_id") != 1, edits))
-    got = {r["id"]: r for r in editcount.count_edited(chosen, path("byte_bpe_50k.json"), public_tokenizers.PATTERN).collect()}
     tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
     tok.encode_special_tokens = True
-    size = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    return lambda t: len(tok.encode(t, add_special_tokens=False).ids), (path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def test_counts_after_edits_equal_full_counts(spark, docs, texts, sizes):
+    size, by = sizes
+    edits = F.array(F.struct(F.lit(3).alias("at"), F.lit(5).alias("cut"), F.lit(" new  word").alias("add")), F.struct(F.lit(10_000_000).alias("at"), F.lit(4).alias("cut"), F.lit("!\n").alias("add")))
+    trees = editcount.plant(docs, *by).withColumn("edits", F.when(F.col("id") != 1, edits))
+    got = {r["id"]: r for r in editcount.apply_edits(trees, *by).collect()}
     for k, t in enumerate(texts):
         t = t or ""
         new = t if k == 1 else t[:3] + " new  word" + t[8:]
         new = new if k == 1 else new + "!\n"
-        assert (got[k]["n_tokens"], got[k]["n_tokens_edited"], got[k]["n_chars_edited"]) == (size(t), size(new), len(new)), k
+        assert (got[k]["n_tokens"], got[k]["n_tokens_edited"], got[k]["n_chars_edited"], got[k]["text"]) == (size(t), size(new), len(new), new), k
     assert got[11]["n_chars_encoded"] < 10_000
 
 
+def some_edit(rng, words, n):
+    return rng.randint(0, n + 3), rng.choice([0, 1, 2, 9, 60]), "".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 3, 200])))
+
+
+def test_thousands_of_edits_equal_full_counts(sizes):
+    size, by = sizes
+    rng = random.Random(11)
+    words = [" word", "a", " ", "  ", "\n", "1234", "'s", "!?", "é", "漢字", " The", "\t", "'", "🙂", "\u0301"]
+    own = editcount.pre_tokens(*by)
+    done = 0
+    for _ in range(60):
+        tree = editcount.CountTree.of("".join(rng.choice(words) for _ in range(rng.randint(0, 900))), own, rng.choice([1, 4, editcount.LEAF]))
+        for _ in range(60):
+            at, cut, add = some_edit(rng, words, len(tree.text))
+            want = tree.text[:at] + add + tree.text[min(at, len(tree.text)) + cut :]
+            tree.edit(at, cut, add)
+            assert tree.text == want and tree.total == size(want)
+            assert tree.chars[1] == len(want) and tree.sums[2, tree.base :].max() <= 2 * tree.leaf
+            if rng.random() < 0.2:  # stored and read again
+                tree = editcount.CountTree(tree.text, own, tree.kept(), tree.leaf)
+            done += 1
+    assert done == 3600
+
+
+def test_a_large_insert_is_split(sizes):
+    size, by = sizes
+    tree = editcount.CountTree.of("short text", editcount.pre_tokens(*by))
+    tree.edit(5, 0, " more words" * 30_000)
+    before = tree.encoded
+    for k in range(50):
+        tree.edit(1000 + 6000 * k, 1, "x")
+    assert tree.encoded - before < 50 * 2000 and tree.total == size(tree.text)
+
+
+def test_stored_trees_take_batches_of_edits(spark, real, sizes):
+    size, by = sizes
+    trees = stored(editcount.plant(real, *by), "trees")
+    now = {r["id"]: r["text"] or "" for r in trees.collect()}
+    rng = random.Random(3)
+    for _ in range(3):
+        batch = {k: [some_edit(rng, [" word", "x", "\n", "42"], len(t)) for _ in range(rng.randint(1, 3))] for k, t in now.items() if rng.random() < 0.7}
+        edits = spark.createDataFrame(list(batch.items()), "id bigint, edits array<struct<at: int, cut: int, add: string>>")
+        trees = stored(editcount.apply_edits(trees.join(edits, "id", "left"), *by), "trees")
+        for k, some in batch.items():
+            for at, cut, add in some:
+                at = min(at, len(now[k]))
+                now[k] = now[k][:at] + add + now[k][at + cut :]
+        got = {r["id"]: (r["text"], r["n_tokens_edited"]) for r in trees.collect()}
+        assert got == {k: (t, size(t)) for k, t in now.items()}
+
+
 def test_sampled_pieces_are_lossless_and_reproducible(docs, texts):
     model = path("piece_bpe_32k.model")
     a = {r["id"]: r["pieces"] for r in pieces.encode(docs, model, 3).collect()}
@@ -167,6 +226,8 @@ def test_sampling_follows_the_lattice():
 
 def test_empty_tables(spark, docs):
     none = docs.where("false")
+    by = path("byte_bpe_50k.json"), "."
+    assert editcount.apply_edits(editcount.plant(none, *by).withColumn("edits", F.lit(None).cast("array<struct<at: int, cut: int, add: string>>")), *by).count() == 0
     assert tokens_io.digest(spark, tokens_io.write(none, path(), END)).count() == 0
     assert packing.pack_documents(none, path(), END).count() == 0
     assert pieces.digest(none, path("piece_bpe_32k.model")).count() == 0
