@@ -31,14 +31,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """``df`` written as Parquet under the shared folder and read back: its lineage ends there."""
+def stored(df: DataFrame, name: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
+    """``df`` written as Parquet under the shared folder (or at ``path``) and read back: its lineage ends there."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = path or fresh_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table ``name`` of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
