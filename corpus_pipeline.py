@@ -3,7 +3,7 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``, whatever else
 they are called: operators see them under names of their own. Null texts go at the first stage (no language). Rows that repeat a
 doc_id are judged each by itself until the near-duplicates, which leave one row of a doc_id; a row without a doc_id is a document
-of its own, and stays there. An empty table gives no rows. Each stage is written and read back before the next, so lineage ends there.
+of its own, and stays there. An empty table gives no rows. Each stage is written and read back before the next, so lineage ends there; a stage's table goes once the next one is written.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.llm import langid, minhash, packing, quality, secrets
-from runloom.llm.shared import read_table, stored
+from runloom.llm.shared import discard, fresh_path, read_table, stored
 
 #: Parameters of the stages: least language score, similarity in percent, end id and tokens of a sequence.
 LEAST_SCORE, PERCENT, END_ID, CAPACITY, VOCABULARY = 0.3, 80, 1, 4096, "word_bpe_49k.json"
@@ -70,7 +70,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", "snappy")
+        path = fresh_path(spark, f"pipeline-{name}")
+        docs = stored(stage(spark, docs, sf_dir), name, "snappy", path)
+        if before:  # its successor is whole
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
