@@ -153,7 +153,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     classes = stored(sk.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
     reps = sk.join(classes.select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"])
     exploded = reps.select("id", F.explode("bands").alias("key"))
-    shared = exploded.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("k")).where("k > 1").select("key", "centre")
+    # tables of one row a bucket are stored, so joins with them shuffle rows as they are and a hot bucket's are split at run time
+    shared = stored(exploded.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("k")).where("k > 1").select("key", "centre"), "shared")
     members = stored(exploded.join(shared, "key"), "buckets")
     in_buckets = members.select("id").distinct()
     texts = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(in_buckets, "id", "left_semi").dropDuplicates(["id"]), "texts")
@@ -168,12 +169,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
             break
         if sized is None:
             sized = stored(_sized(mixed, reps, texts, percent, words), "sized")
-            members = stored(members.select("key", "id").join(mixed.select("key").distinct(), "key", "left_semi").join(sized.select("id"), "id", "left_semi"), "buckets")
+            keys = stored(mixed.select("key").distinct(), "keys")
+            members = stored(members.select("key", "id").join(keys, "key", "left_semi").join(sized.select("id"), "id", "left_semi"), "buckets")
             mixed = _mixed(members, found)
         if turn < ROUNDS:
             # the member that has the least to itself: most copies of one source are nearest to it
             rank = F.struct(-F.col("common") / F.col("n"), F.xxhash64("id", F.lit(turn)), "id")
-            centres = mixed.join(sized, "id").groupBy("key").agg(F.min_by(F.struct("id", "component"), rank).alias("c"))
+            centres = stored(mixed.join(sized, "id").groupBy("key").agg(F.min_by(F.struct("id", "component"), rank).alias("c")), "centres")
             more = mixed.join(centres, "key").where("component != c.component").select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b"))
         else:
             more = _remainder(mixed, sized, bands * rows, percent)
@@ -194,7 +196,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members (key, id, component) of the buckets that hold more than one component."""
     named = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
+    mixed = stored(named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key"), "keys")
     return stored(named.join(mixed, "key", "left_semi"), "mixed")
 
 
@@ -226,7 +228,7 @@ def _remainder(mixed: DataFrame, sized: DataFrame, bins: int, percent: int) -> D
     go by that bound, without being compared.
     """
     sizes = mixed.groupBy("key", "component").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
+    main = stored(sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main")), "main")
     rows = stored(mixed.join(main, "key").join(sized, "id"), "remainder")
     x, y = rows.where("component != main").alias("x"), rows.alias("y")
     most = F.least("x.common", "y.common")
