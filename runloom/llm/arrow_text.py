@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that one vectorised step works on; a longer text is a step of its own.
-STEP_BYTES = 6 << 20
+STEP_BYTES = 2 << 20
 
 
 def as_array(column) -> pa.Array:
@@ -35,6 +35,7 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterat
     cuts = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
         yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # workers live on from stage to stage
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:

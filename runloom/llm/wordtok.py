@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from runloom.llm.arrow_text import as_list, words_of
 
 #: Words kept per worker; beyond it the worker starts again with an empty table.
-MEMO_WORDS = 2_000_000
+MEMO_WORDS = 500_000
 #: Latin letters alone or marks alone: exactly one pre-token, so such words can be encoded many at a time.
 _PLAIN = r"^([A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?#*%$&|]+)$"
 #: A pre-token always begins where one of these marks follows one of these letters or digits, so a space there changes no ids.
